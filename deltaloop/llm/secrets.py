@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloop.llm.common import map_batches, only, utf8, written
+from deltaloop.llm.common import fresh, map_batches, only, utf8, written
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -186,3 +186,33 @@ def redact(text: str, starts: list[int], ends: list[int], mark: str = "[secret]"
 
 
 __all__ = ["base_spans", "cuts", "encoding", "randomness", "redact", "scan"]
+
+
+def redacted(docs: DataFrame, level: float = 0.05) -> DataFrame:
+    """All documents and columns, with secrets replaced in text and n_chars counted anew.
+
+    Spans come with a text's own hash, so ids may repeat or be null.
+    """
+    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    name = fresh(docs, "_key")
+    keyed = docs.withColumn(name, key)
+    found = scan(keyed.select(F.col(name).alias("doc_id"), "text"), level).where("size(starts) > 0").groupBy(F.col("doc_id").alias(name)).agg(F.first("starts").alias("_starts"), F.first("ends").alias("_ends"))
+    hit = found.withColumnRenamed("_starts", fresh(keyed, "_starts")).withColumnRenamed("_ends", fresh(keyed, "_ends"))
+    s, e = hit.columns[1:]
+    both = keyed.join(hit, name, "left")
+    # the parts between the spans, by code points; spans don't overlap after this union
+    pieces = F.filter(F.transform(s, lambda x, i: F.struct(x.alias("a"), F.array_max(F.slice(F.col(e), 1, i + 1)).alias("b"), F.when(i > 0, F.array_max(F.slice(F.col(e), 1, F.greatest(i, F.lit(1))))).otherwise(F.lit(0)).alias("before"))), lambda x: x["b"] > x["before"])
+    mark = F.lit("[secret]")
+    body = F.aggregate(
+        pieces,
+        F.struct(F.lit("").alias("t"), F.lit(0).cast("bigint").alias("at")),
+        lambda acc, x: F.struct(
+            F.when(x["a"] >= acc["at"], F.concat(acc["t"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (x["a"] - acc["at"]).cast("int")), mark)).otherwise(acc["t"]).alias("t"), F.greatest(acc["at"], x["b"]).cast("bigint").alias("at")
+        ),
+        lambda acc: F.concat(acc["t"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))),
+    )
+    text = F.when(F.col(s).isNotNull(), body).otherwise(F.col("text"))
+    out = both.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(s).isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from deltaloop.llm.common import map_batches, only, utf8, written
 
 #: Bounds of the sample that is learnt from, and of the vocabulary.
-POSITIVE, UNLABELLED, WORDS = 3_000, 6_000, 512
+POSITIVE, UNLABELLED, WORDS = 3_000, 6_000, 256
 #: Lengths of beginnings; a shorter word is no input.
 HEADS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -69,7 +69,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 3e-5, seed: int = 0) -> tuple[np.ndarray, float]:
+def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the corrected risk under the logistic loss, by Adam on batches."""
     r = np.random.default_rng(seed)
     m = positive.shape[1]
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled
     rates = map_batches(texts, spread, "word string, a bigint, b bigint").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     pa_, pb = F.col("a") / F.lit(max(np_, 1)), (F.col("b") + 0.5) / F.lit(max(nu, 1))
     z = (pa_ - pb) / F.sqrt(F.greatest(pb * (1 - F.least(pb, F.lit(0.999))), F.lit(1e-6)) * F.lit(1 / max(np_, 1) + 1 / max(nu, 1)))
-    best = rates.where("a >= 3").select("word", z.alias("z")).where("z > 4").orderBy(F.desc("z"), "word").limit(WORDS).collect()
+    best = rates.where("a >= 5").select("word", z.alias("z")).where("z > 4").orderBy(F.desc("z"), "word").limit(WORDS).collect()
     model = Model({r["word"]: k for k, r in enumerate(best)}, np.zeros(len(best)), 0.0)
 
     def inputs(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -140,6 +140,17 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled
     return model
 
 
+def without_toxic(docs: DataFrame, corpus: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents scored under 0.5, with all their columns and in one pass; the model learns from corpus and labels."""
+    model = fit(corpus, labels)
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(model.score(utf8(batch.column(at))) < 0.5))
+
+    return map_batches(docs, keep, docs.schema)
+
+
 def rate(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled: int = UNLABELLED) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     model = fit(docs, labels, positive, unlabelled)

@@ -69,8 +69,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the corrected risk under the logistic loss, by Adam on batches."""
+def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 3000, rate: float = 0.05, decay: float = 0.03, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the corrected risk under the logistic loss, by Adam on batches. The decay is shared by the positives."""
     r = np.random.default_rng(seed)
     m = positive.shape[1]
     theta = np.zeros(m + 1)
@@ -87,7 +87,7 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
         toward = -prior * p.T @ sigmoid(-zp) / len(p)
         against = u.T @ sigmoid(zu) / len(u) - prior * p.T @ sigmoid(zp) / len(p)
         g = toward + against if negative >= 0 else -against
-        g[:m] += decay * theta[:m]
+        g[:m] += decay / len(p_all) * theta[:m]
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
         theta -= rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
@@ -49,6 +50,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished plans only when the driver's garbage is collected: this does it now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """A hint to broadcast df if a count shows at most so many rows; else df as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes a table made by written() that nothing reads any more."""
     for path in df.inputFiles()[:1]:
@@ -102,4 +114,4 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-__all__ = ["drop_written", "fresh", "map_batches", "only", "ship", "table", "utf8", "written"]
+__all__ = ["drop_written", "fresh", "map_batches", "only", "release", "ship", "small", "table", "utf8", "written"]

@@ -30,15 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaloop.functions.session import shuffle_partitions
-from deltaloop.llm.common import map_batches, only, ship, written
+from deltaloop.llm.common import map_batches, only, release, ship, small, written
 
 LENGTH, GRAM, SAMPLE, FINE = 400, 128, 128, 16
 #: First compared bytes and step of the refinement; different segments that one task takes of a bucket; bytes worked on at a time.
 Q, WIDE, CHUNK = 100, 20_000, 4_000_000
+#: Most texts whose lists are sent to all tasks; more meet their texts by a shuffle.
+KEYS = 300_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -160,9 +162,9 @@ def _fetch(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["g", "key", "lo", "hi", "open", "s"])
 
     texts = docs.where(F.octet_length("text") >= length).select(F.unhex(F.md5("text")).alias("key"), "text")
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("g", "lo", "hi", "open")).alias("items"))
+    lists = written(wanted.groupBy("key").agg(F.collect_list(F.struct("g", "lo", "hi", "open")).alias("items")), "wanted")
     # equal texts give equal rows here; one of them is enough, and the bucket's rows are told apart by key and lo
-    joined = texts.join(lists, "key").select("key", "text", "items")
+    joined = texts.join(small(lists, KEYS), "key").select("key", "text", "items")
     return map_batches(joined, run, "g bigint, key binary, lo int, hi int, open boolean, s binary")
 
 
@@ -231,17 +233,32 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, begins, ends (of the removed runs)."""
     kind = dict(docs.dtypes)["doc_id"]
     docs = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    spark = docs.sparkSession
     found = written(_segments(docs, length), "segments")
+    release(spark)
     same = found.groupBy("g", "c").agg(F.sum("m").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one"))
     whole = found.join(same.where("n > 1").select("g", "c"), ["g", "c"]).select("key", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
     mixed = same.groupBy("g").agg(F.count("*").alias("d")).where("d > 1")
     open_ = same.join(mixed, "g").select("g", F.col("one.key").alias("key"), F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), (F.col("n") == 1).alias("open"), "d")
     wanted = written(open_, "open")
+    release(spark)
     bytes_ = written(_fetch(wanted.select("key", "g", "lo", "hi", "open"), docs, length), "contexts")
+    release(spark)
     wide = wanted.where(F.col("d") > WIDE).select("g").distinct()
     part = _refined(bytes_.join(wide, "g", "left_anti"), length)
     rest = _counted(bytes_.join(wide, "g", "left_semi"), length)
-    spans = whole.union(part).union(rest).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # runs of one text that touch are one, before they travel with it
+    every = whole.union(part).union(rest).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"), F.lit(-1).alias("a"), F.lit(-1).alias("b"))
+
+    def add(acc: Column, x: Column) -> Column:
+        touches = (acc["b"] >= 0) & (x["a"] <= acc["b"])
+        closed = F.when(touches | (acc["b"] < 0), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b")))))
+        return F.struct(closed.alias("done"), F.when(touches, acc["a"]).otherwise(x["a"]).alias("a"), F.when(touches, F.greatest(acc["b"], x["b"])).otherwise(x["b"]).alias("b"))
+
+    merged = F.aggregate("spans", start, add, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b")))))
+    spans = written(every.select("key", merged.alias("spans")), "spans")
+    release(spark)
 
     def strip(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -258,5 +275,5 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         kinds = [pa.int64()] * 3 + [pa.string()] + [pa.list_(pa.int64())] * 2
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "begins", "ends"])
 
-    keyed = docs.withColumn("key", F.unhex(F.md5("text"))).join(spans, "key", "left").select("doc_id", "text", "spans")
+    keyed = docs.withColumn("key", F.unhex(F.md5("text"))).join(small(spans, KEYS), "key", "left").select("doc_id", "text", "spans")
     return map_batches(keyed, strip, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, begins array<bigint>, ends array<bigint>")

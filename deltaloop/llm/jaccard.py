@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloop.functions.session import shuffle_partitions
-from deltaloop.llm.common import map_batches, only, ship, written
+from deltaloop.llm.common import map_batches, only, release, ship, small, written
 from deltaloop.llm.graph import components
 
 #: Counters of the sketch of shingle counts.
 SKETCH = 1 << 18
+#: Most sets that are sent to all tasks to find their texts; more meet them by a shuffle.
+NODES = 400_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -76,36 +78,52 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, sig) for each row, and part of the sketch; sig is null for an empty set."""
-    kind = dict(docs.dtypes)["doc_id"]
+_RANGES = np.arange(1, 32, dtype=np.uint64) << np.uint64(59)
+
+
+def shape(s: np.ndarray) -> bytes:
+    """How many shingles of a sorted set fall into each of 32 ranges of hashes; empty if a range has over 255."""
+    parts = np.diff(np.searchsorted(s, _RANGES), prepend=0, append=len(s))
+    return parts.astype(np.uint8).tobytes() if len(s) and parts.max() < 256 else b""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
-        sig = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "sig"])
 
-    return map_batches(only(docs, "doc_id", "text"), run, f"doc_id {kind}, n bigint, sig binary")
+def _suffix_reach(percent: int, a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
+    """Suffix filter: no range shares more than its smaller part, so the sets share no more than their sum."""
+    if not a or not b:
+        return True
+    return int(np.minimum(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).sum()) >= -(-percent * (n_a + n_b) // (100 + percent))
 
 
-def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingle counts, hashed to SKETCH counters, summed over all documents."""
+def _sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, sig, shape) of each row, sig null for an empty set; and shingle counts over all rows, hashed to SKETCH counters."""
     ship(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
+        names = ["doc_id", "n", "sig", "shape", "at", "c"]
+        key = pa.int64()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                np.add.at(total, (shingles(t, width) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+            key = batch.schema.field(0).type
+            size, sig, shapes = [], [], []
+            for t in batch.column(1).to_pylist():
+                s = shingles(t, width)
+                size.append(len(s))
+                shapes.append(shape(s))
+                sig.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
+                np.add.at(total, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+            none = pa.nulls(batch.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(shapes, pa.binary()), none, none.cast(pa.int64())], names=names)
         at = np.flatnonzero(total)
-        for k in range(0, len(at), 50_000):
+        for k in range(0, len(at), 50_000):  # the task's counters follow its rows
             part = at[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), key), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.binary()), pa.array(part.astype(np.int32)), pa.array(total[part])], names=names)
 
-    rows = only(docs, "text").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SKETCH, np.int64)
-    out[rows["at"].to_numpy(int)] = rows["n"].to_numpy(int)
-    return out
+    made = written(only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, sig binary, shape binary, at int, c bigint"), "sets")
+    rows = made.where("at IS NOT NULL").groupBy("at").agg(F.sum("c").alias("c")).toPandas()
+    counts = np.zeros(SKETCH, np.int64)
+    counts[rows["at"].to_numpy(int)] = rows["c"].to_numpy(int)
+    return made.where("at IS NULL").select("doc_id", "n", "sig", "shape"), counts
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> DataFrame:
@@ -184,7 +202,7 @@ def _reach(percent: int, pos_a, n_a, pos_b, n_b):  # noqa: ANN001, ANN202
 
 
 def _cross(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket, of different components, that pass the filters. rows: token, pos, n, sig, label."""
+    """Pairs of one bucket, of different components, that pass the filters. rows: token, pos, n, sig, label, shape."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a: list[bytes] = []
@@ -194,10 +212,12 @@ def _cross(rows: DataFrame, percent: int) -> DataFrame:
             label = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)[1]
             if label.max() == 0:
                 continue
-            sig = group.column("sig").to_pylist()
+            sig, own = group.column("sig").to_pylist(), group.column("shape").to_pylist()
             for i in range(1, len(sig)):
                 fits = (label[:i] != label[i]) & _reach(percent, pos[:i], n[:i], pos[i], n[i])
                 for j in np.flatnonzero(fits):
+                    if not _suffix_reach(percent, own[i], own[j], int(n[i]), int(n[j])):
+                        continue
                     out_a.append(min(sig[i], sig[j]))
                     out_b.append(max(sig[i], sig[j]))
                 if len(out_a) > 20_000:
@@ -209,15 +229,6 @@ def _cross(rows: DataFrame, percent: int) -> DataFrame:
     return parts.mapInArrow(run, "a binary, b binary").distinct()
 
 
-_RANGES = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
-
-
-def _suffix_reach(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Suffix filter: both sorted sets fall into 16 ranges of hashes; no range shares more than its smaller part."""
-    parts = [np.diff(np.searchsorted(x, _RANGES), prepend=0, append=len(x)) for x in (a, b)]
-    return int(np.minimum(*parts).sum()) >= int(overlap_needed(percent, np.int64(len(a)), np.int64(len(b))))
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link. sets: (sig, s)."""
     left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a")
@@ -229,9 +240,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if y != last:
                 last, other = y, np.frombuffer(y, np.uint64)
             one = np.frombuffer(x, np.uint64)
-            if not _suffix_reach(one, other, percent):
-                keep.append(False)
-                continue
             small, large = (one, other) if len(one) <= len(other) else (other, one)
             at = np.searchsorted(large, small)
             common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
@@ -245,14 +253,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
     docs = only(docs, "doc_id", "text")
-    rows = written(_sets(docs, width), "sets")
-    shared = written(_shared(_prefixes(docs, width, percent, _sketch(docs, width))), "prefixes")
+    rows, counts = _sets(docs, width)
+    shared = written(_shared(_prefixes(docs, width, percent, counts)), "prefixes")
+    release(docs.sparkSession)
     star = shared.where("sig <> hub AND 100 * least(n, hub_n) >= %d * greatest(n, hub_n)" % percent).where(
         f"least(n - pos, hub_n - hub_pos) >= ceil({percent} * (n + hub_n) / {100 + percent}.0D - 1e-9)"
     )
-    star = written(star.select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
-    named = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    nodes = shared.select("sig").distinct().join(named, "sig").where("rep IS NOT NULL")
+    star = star.groupBy(F.col("sig").alias("a"), F.col("n").alias("n_a")).agg(F.min(F.struct("hub_pos", "hub", "hub_n")).alias("h"))  # one hub for each; the rest is the next step's
+    named = written(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("shape").alias("shape")), "named")
+    shapes = named.select("sig", "shape")
+    star = star.select("a", "n_a", F.col("h.hub").alias("b"), F.col("h.hub_n").alias("n_b"))
+    star = star.join(shapes.toDF("a", "shape_a"), "a").join(shapes.toDF("b", "shape_b"), "b")
+
+    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = [_suffix_reach(percent, *row) for row in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    star = written(map_batches(star.select("a", "b", "shape_a", "shape_b", "n_a", "n_b"), near, "a binary, b binary"), "stars")
     kind = dict(docs.dtypes)["doc_id"]
 
     def load(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -260,14 +277,21 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         same = [xxhash.xxh128_digest(s) == sig for s, sig in zip(made, batch.column(0).to_pylist())]  # an id may come with several texts
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["sig", "s"]).filter(pa.array(same, pa.bool_()))
 
-    texts = nodes.select("sig", F.col("rep").cast(kind).alias("doc_id")).join(docs, "doc_id").select("sig", "text")
-    sets = written(map_batches(texts, load, "sig binary, s binary"), "shingles")
-    links = written(_verified(star, sets, percent), "links")
+    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
+        """The sets of all members of pairs, made from the texts again."""
+        members = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        nodes = written(members.join(named, "sig").where("rep IS NOT NULL").select("sig", F.col("rep").cast(kind).alias("doc_id")), f"{name}-nodes")
+        texts = docs.join(small(nodes, NODES), "doc_id").select("sig", "text")
+        return written(map_batches(texts, load, "sig binary, s binary"), name)
+
+    links = written(_verified(star, sets_of(star, "star-sets"), percent).distinct(), "links")
     labels = components(links)
-    labelled = shared.select("token", "pos", "n", "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    release(docs.sparkSession)
+    labelled = shared.select("token", "pos", "n", "sig").join(shapes.join(labels.withColumnRenamed("node", "sig"), "sig", "left"), "sig").withColumn("label", F.coalesce("label", "sig"))
     more = _cross(labelled, percent)
     more = more.join(star.select("a", "b"), ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    found = _verified(written(more, "pairs"), sets, percent)
+    more = written(more, "pairs")
+    found = _verified(more, sets_of(more, "pair-sets"), percent)
     final = components(links.union(found))
     smallest = final.join(named, final["node"] == named["sig"]).groupBy("label").agg(F.min("rep").alias("least"))
     by_sig = final.join(smallest, "label").select(F.col("node").alias("sig"), "least")

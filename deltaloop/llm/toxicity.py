@@ -4,7 +4,7 @@ Method: confirmed toxic examples and unlabelled texts give a linear classifier i
 prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)); whenever the second part turns
 negative, the step goes against it, which keeps a flexible model from pushing confirmed examples'
 weight into the unlabelled ones. The class prior is the share of toxic rows among the labelled ones
-of the learning folds. Inputs are the words and beginnings of words that confirmed examples hold
+of the learning folds, which are taken for a fair sample. Inputs are the words and beginnings of words that confirmed examples hold
 significantly more often than unlabelled texts (at most WORDS), each by one plus the logarithm of
 its count.
 

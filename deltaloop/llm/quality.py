@@ -98,7 +98,16 @@ def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_column: str = "quality") -> Forest:
     """stats: from statistics(); labels: doc_id and the label (0 or 1)."""
     known = only(labels, "doc_id", label_column).toDF("doc_id", "y").where("y IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    rows = stats.select("doc_id", "x").where("n_words >= 50").join(known, "doc_id").withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(sample).select("x", "y").toPandas()
+    pool = stats.where("n_words >= 50").join(known, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
+    # only the ranges of hashes with the smallest ones are sorted, so no partition sends a whole sample of its own
+    part = F.shiftright("_h", 48)  # 65,536 ranges in the order of _h
+    total, last = 0, 1 << 15
+    for r in pool.groupBy(part.alias("part")).count().orderBy("part").collect():
+        total += r["count"]
+        if total >= sample:
+            last = r["part"]
+            break
+    rows = pool.where(part <= last).orderBy("_h", "doc_id").limit(sample).select("x", "y").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     return train(x, rows["y"].to_numpy(float), list(FEATURES.values()))
 

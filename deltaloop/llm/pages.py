@@ -1,7 +1,8 @@
 """Main text of web pages by template deduction.
 
 Method: a page is a sequence of tokens: its tags, each with the path of elements above it, and the
-texts between them. Copies of one text on a host count as one page. Over the pages of one host,
+texts between them. Pages without a text don't count, and copies of one text on a host count as one
+page. Over the pages of one host,
 tokens are grouped by their occurrence vectors (how often they occur in each page), which are
 compared by sums of keyed hashes, so that a host of any size is aggregated before the shuffle and
 never collected. Tokens with one vector are a class, if a share SHARE of the pages holds them. Two
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from deltaloop.llm.common import map_batches, only, small, utf8, written
 
 #: Fewest pages of a host that make a template, and the share of them that holds a token of it.
-PAGES, SHARE = 3, 1.0
+PAGES, SHARE = 3, 0.5
 #: More than this share of links makes a slot navigation; up to this share of a slot's text may be on the other side of an article's border.
 LINKS, MIXED = 0.8, 0.1
 #: So many hosts at most are broadcast.
@@ -273,6 +274,8 @@ def templates(pages: DataFrame) -> DataFrame:
         out: list[list] = [[] for _ in range(5)]
         for url, page in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
             token, info, article = sequence(slots(page))
+            if not any(x >= 0 for x in info):
+                continue  # no text, no page of the template
             same = xxhash.xxh64_intdigest(repr([t for t, x in zip(token, info) if x >= 0 and (x & 1 or not article)])) >> 1  # copies of a text are one page
             for column, value in zip(out, (host(url), same, token, info, article)):
                 column.append(value)

@@ -4,7 +4,7 @@ Method: every run of 20 or more encoding characters with letters and digits is a
 encoding is the smallest alphabet that holds it. Three tests ask whether it could be uniform random
 in this alphabet: chi-squared over the symbols, runs above and below the middle, and lag-1 serial
 correlation; Fisher's method combines them. Candidates are pooled by encoding and length class over
-the whole corpus. In each pool the number of truly random strings is estimated from the upper half
+the whole corpus, each different string once. In each pool the number of truly random strings is estimated from the upper half
 of the p-values, and the smallest cut is taken at which the estimated share of others among the
 accepted stays under the false-discovery level; pools of short strings, where the tests have little
 power and chance matches are common, so need higher values than pools of long ones.
@@ -22,6 +22,7 @@ from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,16 +137,17 @@ def scan(docs: DataFrame, level: float = 0.05, id_column: str = "doc_id", text_c
                     shift = m.start() + len(token.rstrip("=")) - len(body)
                     if len(body) >= 20 and (name := encoding(body)):
                         p = randomness(body, name)
-                        own.append({"encoding": name, "size": length_class(len(body)), "bin": min(BINS - 1, int(p * BINS)), "start": shift, "end": shift + len(body)})
+                        own.append({"encoding": name, "size": length_class(len(body)), "bin": min(BINS - 1, int(p * BINS)), "string": xxhash.xxh64_intdigest(body) >> 1, "start": shift, "end": shift + len(body)})
             found.append(own)
         span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-        candidate = pa.list_(pa.struct([("encoding", pa.string()), ("size", pa.int32()), ("bin", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+        candidate = pa.list_(pa.struct([("encoding", pa.string()), ("size", pa.int32()), ("bin", pa.int32()), ("string", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(found, candidate)], names=["doc_id", "base", "found"])
 
     kind = dict(docs.dtypes)[id_column]
-    schema = f"doc_id {kind}, base array<struct<kind:int,start:bigint,end:bigint>>, found array<struct<encoding:string,size:int,bin:int,start:bigint,end:bigint>>"
+    schema = f"doc_id {kind}, base array<struct<kind:int,start:bigint,end:bigint>>, found array<struct<encoding:string,size:int,bin:int,string:bigint,start:bigint,end:bigint>>"
     made = written(map_batches(only(docs, id_column, text_column), find, schema), "secrets")
-    pooled = made.select(F.explode("found").alias("f")).groupBy("f.encoding", "f.size", "f.bin").agg(F.count("*").alias("n")).collect()  # bounded by alphabets, length and p classes
+    strings = made.select(F.explode("found").alias("f")).select("f.encoding", "f.size", "f.bin", "f.string").distinct()  # copies of a string say no more about its pool
+    pooled = strings.groupBy("encoding", "size", "bin").agg(F.count("*").alias("n")).collect()  # bounded by alphabets, length and p classes
     pools: dict[tuple[str, int], np.ndarray] = {}
     for r in pooled:
         pools.setdefault((r["encoding"], r["size"]), np.zeros(BINS))[r["bin"]] += r["n"]

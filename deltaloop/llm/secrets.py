@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on everything else that looks encoded.
 
-Method: every run of 20 or more encoding characters with letters and digits is a candidate. Its
-encoding is the smallest alphabet that holds it. Three tests ask whether it could be uniform random
+Method: every run of 20 or more encoding characters is split at '=', and what is left, whole and in
+its parts between + / - _, is a candidate if it has letters, digits and 20 characters. Its encoding is
+the smallest alphabet that holds it; of candidates that pass and overlap, the longest counts. Three tests ask whether it could be uniform random
 in this alphabet: chi-squared over the symbols, runs above and below the middle, and lag-1 serial
 correlation; Fisher's method combines them. Candidates are pooled by encoding and length class over
 the whole corpus, each different string once. In each pool the number of truly random strings is estimated from the upper half
@@ -33,6 +34,10 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: A value between '=', and its parts: all of it, without each alphabet's marks, without any.
+_VALUE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+_MARKS = re.compile(r"[+/_-]")
+_PARTS = (_VALUE, re.compile(r"[A-Za-z0-9+/]{20,}"), re.compile(r"[A-Za-z0-9_-]{20,}"), re.compile(r"[A-Za-z0-9+]{20,}"), re.compile(r"[A-Za-z0-9]{20,}"))
 KINDS = ("assign", "access", "hex", "random")
 
 #: Encodings, the smallest alphabet first.
@@ -69,6 +74,20 @@ def encoding(token: str) -> str | None:
     return next((name for name, letters in _SETS.items() if have <= letters), None)
 
 
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, encoding) of all strings to test; some lie inside others."""
+    out = set()
+    for m in _CANDIDATE.finditer(text):
+        for value in _VALUE.finditer(m[0]):
+            for parts in _PARTS if _MARKS.search(value[0]) else (_VALUE,):
+                for part in parts.finditer(value[0]):
+                    body = part[0]
+                    if any(c.isdigit() for c in body) and any(c.isalpha() for c in body) and (name := encoding(body)):
+                        start = m.start() + value.start() + part.start()
+                        out.add((start, start + len(body), name))
+    return sorted(out)
+
+
 def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -130,14 +149,10 @@ def scan(docs: DataFrame, level: float = 0.05, id_column: str = "doc_id", text_c
             spans = base_spans(text)
             base.append([{"kind": k, "start": s, "end": e} for s, k, e in spans])
             own = []
-            for m in _CANDIDATE.finditer(text):
-                token = m[0]
-                if any(c.isdigit() for c in token) and any(c.isalpha() for c in token):
-                    body = token.rstrip("=").lstrip("=")
-                    shift = m.start() + len(token.rstrip("=")) - len(body)
-                    if len(body) >= 20 and (name := encoding(body)):
-                        p = randomness(body, name)
-                        own.append({"encoding": name, "size": length_class(len(body)), "bin": min(BINS - 1, int(p * BINS)), "string": xxhash.xxh64_intdigest(body) >> 1, "start": shift, "end": shift + len(body)})
+            for start, end, name in candidates(text):
+                body = text[start:end]
+                p = randomness(body, name)
+                own.append({"encoding": name, "size": length_class(len(body)), "bin": min(BINS - 1, int(p * BINS)), "string": xxhash.xxh64_intdigest(body) >> 1, "start": start, "end": end})
             found.append(own)
         span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
         candidate = pa.list_(pa.struct([("encoding", pa.string()), ("size", pa.int32()), ("bin", pa.int32()), ("string", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -157,11 +172,10 @@ def scan(docs: DataFrame, level: float = 0.05, id_column: str = "doc_id", text_c
         rows = []
         for base, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             spans = [(b["start"], b["kind"], b["end"]) for b in base]
-            more = [
-                (f["start"], 3, f["end"])
-                for f in found
-                if f["bin"] >= chosen.get((f["encoding"], f["size"]), BINS) and not any(f["start"] < e and s < f["end"] for s, _, e in spans)
-            ]
+            more: list[tuple[int, int, int]] = []
+            for f in sorted(found, key=lambda f: (f["start"] - f["end"], f["start"])):  # the longest that passes stands for its parts
+                if f["bin"] >= chosen.get((f["encoding"], f["size"]), BINS) and not any(f["start"] < e and s < f["end"] for s, _, e in spans + more):
+                    more.append((f["start"], 3, f["end"]))
             every = sorted(spans + more)
             text = lambda xs: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in xs)
             n = [sum(k == kind for _, k, _ in every) for kind in range(4)]

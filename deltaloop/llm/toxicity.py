@@ -5,8 +5,8 @@ prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)); whenever t
 negative, the step goes against it, which keeps a flexible model from pushing confirmed examples'
 weight into the unlabelled ones. The class prior is the share of toxic rows among the labelled ones
 of the learning folds, which are taken for a fair sample. Inputs are the words and beginnings of words that confirmed examples hold
-significantly more often than unlabelled texts (at most WORDS), each by one plus the logarithm of
-its count.
+significantly more often than unlabelled texts, all of them, each by one plus the logarithm of its
+count. A confirmed example must be one of five that hold a word (LEAST).
 
 Only rows whose crc32(doc_id) mod 5 is not 0 are learnt from; at most POSITIVE confirmed and
 UNLABELLED other texts, those of the smallest hash of the id. Every whole text is scored.
@@ -18,6 +18,7 @@ results; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -30,9 +31,11 @@ from pyspark.sql import functions as F
 
 from deltaloop.llm.common import map_batches, only, utf8, written
 
-#: Bounds of the sample that is learnt from, and of the vocabulary.
-POSITIVE, UNLABELLED, WORDS = 3_000, 6_000, 256
-#: Lengths of beginnings; a shorter word is no input.
+#: Bounds of the sample that is learnt from.
+POSITIVE, UNLABELLED = 3_000, 6_000
+#: Fewest confirmed examples that hold an input.
+LEAST = 5
+#: Lengths of beginnings; a shorter word is an input as a whole.
 HEADS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -52,42 +55,71 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def inputs(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.vocabulary)))
+    def inputs(self, texts: list[str]) -> list[tuple[list[int], list[float]]]:
+        """Of each text the inputs it holds, in order, and their values."""
+        out = []
         known = self.vocabulary
         heads = {v[: HEADS[0]] for v in known}
-        for k, text in enumerate(texts):
+        for text in texts:
+            count: Counter = Counter()
             for w in words(text):
                 if w[: HEADS[0]] in heads:
                     for t in terms(w):
                         if t in known:
-                            out[k, known[t]] += 1
-        return np.where(out > 0, 1 + np.log(np.maximum(out, 1)), 0)
+                            count[known[t]] += 1
+            at = sorted(count)
+            out.append((at, [1 + math.log(count[k]) for k in at]))
+        return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        z = self.inputs(texts) @ self.weights + self.bias
+        z = Rows(self.inputs(texts)).dot(self.weights) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 3000, rate: float = 0.05, decay: float = 0.03, seed: int = 0) -> tuple[np.ndarray, float]:
+class Rows:
+    """A sparse matrix by rows."""
+
+    def __init__(self, rows: list[tuple[list[int], list[float]]]) -> None:
+        self.size = np.array([len(at) for at, _ in rows], np.int64)
+        self.start = np.r_[0, self.size.cumsum()]
+        self.at = np.array([k for at, _ in rows for k in at], np.int64)
+        self.value = np.array([v for _, value in rows for v in value], float)
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def take(self, chosen: np.ndarray) -> Rows:
+        out = Rows([])
+        out.size = self.size[chosen]
+        out.start = np.r_[0, out.size.cumsum()]
+        k = np.arange(out.start[-1]) + np.repeat(self.start[chosen] - out.start[:-1], out.size)
+        out.at, out.value = self.at[k], self.value[k]
+        return out
+
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(np.repeat(np.arange(len(self)), self.size), self.value * weights[self.at], len(self))
+
+    def back(self, x: np.ndarray, width: int) -> np.ndarray:
+        """The transposed matrix times x, and the sum of x."""
+        return np.r_[np.bincount(self.at, self.value * np.repeat(x, self.size), width), x.sum()]
+
+
+def nn_pu(positive: Rows, unlabelled: Rows, m: int, prior: float, steps: int = 3000, rate: float = 0.05, decay: float = 0.03, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the corrected risk under the logistic loss, by Adam on batches. The decay is shared by the positives."""
     r = np.random.default_rng(seed)
-    m = positive.shape[1]
     theta = np.zeros(m + 1)
     theta[m] = np.log(prior / (1 - prior))
     first, second = np.zeros(m + 1), np.zeros(m + 1)
-    add = lambda x: np.hstack([x, np.ones((len(x), 1))])
-    p_all, u_all = add(positive), add(unlabelled)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for k in range(1, steps + 1):
-        p = p_all[r.integers(0, len(p_all), min(512, len(p_all)))]
-        u = u_all[r.integers(0, len(u_all), min(1024, len(u_all)))]
-        zp, zu = p @ theta, u @ theta
+        p = positive.take(r.integers(0, len(positive), min(512, len(positive))))
+        u = unlabelled.take(r.integers(0, len(unlabelled), min(1024, len(unlabelled))))
+        zp, zu = p.dot(theta) + theta[m], u.dot(theta) + theta[m]
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        toward = -prior * p.T @ sigmoid(-zp) / len(p)
-        against = u.T @ sigmoid(zu) / len(u) - prior * p.T @ sigmoid(zp) / len(p)
+        toward = -prior * p.back(sigmoid(-zp), m) / len(p)
+        against = u.back(sigmoid(zu), m) / len(u) - prior * p.back(sigmoid(zp), m) / len(p)
         g = toward + against if negative >= 0 else -against
-        g[:m] += decay / len(p_all) * theta[:m]
+        g[:m] += decay / len(positive) * theta[:m]
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
         theta -= rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
@@ -113,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
         count: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for s, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-            count[s].update({t for w in set(words(text)) if len(w) >= HEADS[0] for t in terms(w)})
+            count[s].update({t for w in set(words(text)) for t in terms(w)})
         every = list(count[0].keys() | count[1].keys())
         return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([count[s][w] for w in every], pa.int64()) for s in (1, 0))], names=["word", "a", "b"])
 
@@ -122,21 +154,17 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled
     rates = map_batches(texts, spread, "word string, a bigint, b bigint").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     pa_, pb = F.col("a") / F.lit(max(np_, 1)), (F.col("b") + 0.5) / F.lit(max(nu, 1))
     z = (pa_ - pb) / F.sqrt(F.greatest(pb * (1 - F.least(pb, F.lit(0.999))), F.lit(1e-6)) * F.lit(1 / max(np_, 1) + 1 / max(nu, 1)))
-    best = rates.where("a >= 5").select("word", z.alias("z")).where("z > 4").orderBy(F.desc("z"), "word").limit(WORDS).collect()
+    best = rates.where(F.col("a") >= LEAST).select("word", z.alias("z")).where("z > 4").orderBy(F.desc("z"), "word").collect()  # at most the terms of the sample
     model = Model({r["word"]: k for k, r in enumerate(best)}, np.zeros(len(best)), 0.0)
 
     def inputs(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = model.inputs(utf8(batch.column(1)))
-        hits = [np.flatnonzero(v) for v in x]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tolist() for h in hits], pa.list_(pa.int32())), pa.array([v[h].tolist() for v, h in zip(x, hits)], pa.list_(pa.float64()))], names=["sample", "at", "value"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([at for at, _ in x], pa.list_(pa.int32())), pa.array([v for _, v in x], pa.list_(pa.float64()))], names=["sample", "at", "value"])
 
     rows = map_batches(texts, inputs, "sample int, at array<int>, value array<double>").collect()
     rows.sort(key=lambda r: (r["sample"], list(r["at"]), list(r["value"])))
-    x = np.zeros((len(rows), len(best)))
-    for k, r in enumerate(rows):
-        x[k, list(r["at"])] = list(r["value"])
-    is_positive = np.array([r["sample"] == 1 for r in rows])
-    model.weights, model.bias = nn_pu(x[is_positive], x[~is_positive] if (~is_positive).any() else x, prior)
+    of = lambda sample: Rows([(list(r["at"]), list(r["value"])) for r in rows if r["sample"] == sample])
+    model.weights, model.bias = nn_pu(of(1), of(0) if nu else of(1), len(best), prior)
     return model
 
 

@@ -9,20 +9,28 @@ import uuid
 import weakref
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deltaloop.functions.session import checkpoint_dir
 
+#: Bytes of rows that go to a Python worker at once, where the session leaves Spark's own setting.
+BATCH = 4 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()
-_WRITTEN: list[tuple[weakref.ref, str]] = []
+_WRITTEN: dict[str, weakref.ref] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, whether or not they have it on their path."""
+    """Gives the executors this package, whether or not they have it on their path, and bounds the batches they read."""
+    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, str(BATCH))
     context = spark.sparkContext
     if context in _SHIPPED:
         return
@@ -40,49 +48,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared checkpoint folder; it goes at the end of the session."""
+    """Cuts the lineage with a Parquet table in the shared checkpoint folder; it goes at the end of the session, or by drop_written()."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/deltaloop-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _WRITTEN:
         atexit.register(_clean)
-    _WRITTEN.append((weakref.ref(spark), path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = weakref.ref(out)
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Spark deletes the shuffle files of finished plans only when the driver's garbage is collected: this does it now."""
-    gc.collect()
-    spark._jvm.System.gc()
+def drop_written(*frames: DataFrame) -> None:
+    """Deletes tables made by written() that nothing reads any more."""
+    for df in frames:
+        for path in [p for p, ref in _WRITTEN.items() if ref() is df]:
+            if not _delete(path):
+                df.limit(0).write.mode("overwrite").parquet(path)  # where this process can't reach the folder
+            del _WRITTEN[path]
+
+
+def _delete(path: str) -> bool:
+    try:
+        system, place = fs.FileSystem.from_uri(path)
+        system.delete_dir(place)
+    except (OSError, ValueError, pa.ArrowException):
+        return False
+    return True
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """A hint to broadcast df if a count shows at most so many rows; else df as it is, for a join by shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _clean() -> None:
+    for path in _WRITTEN:
+        _delete(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes a table made by written() that nothing reads any more."""
-    for path in df.inputFiles()[:1]:
-        for k, (spark, base) in enumerate(_WRITTEN):
-            if base.rstrip("/").rsplit("/", 1)[-1] in path:
-                _delete(df.sparkSession, base)
-                del _WRITTEN[k]
-                return
+def release(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished plans only when the driver's garbage is collected: this asks for it, where it can be."""
+    gc.collect()
+    if jvm := getattr(spark, "_jvm", None):
+        jvm.System.gc()
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def _width(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes; strings in arrays are none of these tables."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        each = 8 * len(kind.elementType.fields) + 16 if isinstance(kind.elementType, T.StructType) else 8
+        return F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)) * each + 16
+    return F.lit(8)
 
 
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            if spark() is not None:
-                _delete(spark(), path)
-        except Exception:  # noqa: BLE001  the session may have ended
-            return
+def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """A hint to broadcast df if its values take at most so many bytes, which is measured; else df as it is, for a join by shuffle."""
+    widths = [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    size = df.agg(F.sum(reduce(lambda a, b: a + b, widths, F.lit(16)).cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[str]:

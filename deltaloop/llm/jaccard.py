@@ -1,72 +1,47 @@
 """N-gram Jaccard join: classes of documents whose shingle sets overlap by a percentage or more.
 
-Method: shingles are ordered rarest first, by their counts over the whole corpus in a sketch of
-fixed size (any fixed order gives the same links; this one keeps buckets small). Two sets that link
+Method: shingles are ordered rarest first, by their counts over the whole corpus in a sketch that
+grows with the text (any fixed order gives the same links; this one keeps buckets small). Two sets that link
 share a shingle of their prefixes, whose length follows from the threshold. Rows (shingle, position,
 size, set) meet by shingle; length and positional filters drop what can't reach the overlap. A pair
 is verified once, on the whole sets, unless a suffix filter on their distribution rules it out.
 
-Groups of copies don't grow quadratically: equal sets are one node from the start; each bucket first
+Groups of copies don't grow quadratically: a task sends one row a shingle for all equal sets that it
+meets, so a text of a million copies is a row a task; each bucket first
 checks its members against the one whose shingle comes earliest (the text with the fewest rare
 shingles, the original of a group of edited copies); then only pairs of different components that
-pass the filters are verified. No link between different components is lost.
+pass the filters are verified, in buckets by shingle and size range. No link between different components is lost.
+Buckets are read as streams, and pairs of one centre are dealt out by salt with a copy of the
+centre's set for every SALT members.
 
 Defined cases: a null, empty or blank text has an empty set and is its own class; texts with fewer
 words than a shingle are one shingle of all their words; repeated rows share a class; an empty table
-gives an empty result; extra columns are ignored. A null id is kept as a row of its own class.
+gives an empty result; extra columns are ignored. A null id is kept as a row, it links others like any
+row, and the class is named by the smallest id that isn't null (null if there is none).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaloop.functions.session import shuffle_partitions
-from deltaloop.llm.common import map_batches, only, release, ship, small, written
+from deltaloop.llm.common import drop_written, fresh, map_batches, only, release, ship, small, written
 from deltaloop.llm.graph import components
+from deltaloop.llm.shingling import shingle_sets
 
-#: Counters of the sketch of shingle counts.
-SKETCH = 1 << 18
-#: Most sets that are sent to all tasks to find their texts; more meet them by a shuffle.
-NODES = 400_000
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * _M1
-    h = (h ^ (h >> np.uint64(33))) * _M2
-    return h ^ (h >> np.uint64(33))
-
-
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z is lowered, only ASCII white space splits
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    k = min(width, n)
-    with np.errstate(over="ignore"):
-        out = np.full(n - k + 1, k, np.uint64)
-        for j in range(k):
-            out = _mix(out ^ h[j : n - k + 1 + j]) + np.uint64(j + 1)
-    return np.unique(out)
+#: Counters of the sketch of shingle counts: a power of two, one for every so many bytes of text, within these bounds (16 MB at most are sent to tasks).
+SKETCH, BYTES = (1 << 16, 1 << 24), 256
+#: Counters in one row of the sketch.
+STRIPE = 1 << 16
+#: Most members of a centre that one task compares.
+SALT = 2_000
+_KEY = "token bigint, place bigint, sig binary"
 
 
 def overlap_needed(percent: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,104 +69,154 @@ def _suffix_reach(percent: int, a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
     return int(np.minimum(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).sum()) >= -(-percent * (n_a + n_b) // (100 + percent))
 
 
-def _sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, sig, shape) of each row, sig null for an empty set; and shingle counts over all rows, hashed to SKETCH counters."""
+def signature(s: np.ndarray) -> bytes:
+    return xxhash.xxh128_digest(s.tobytes())
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+# ---------------------------------------------------------------- sets and counts
+
+
+def _sets(docs: DataFrame, width: int, counters: int) -> DataFrame:
+    """(doc_id, k, n, sig, shape) of each row, sig null for an empty set; and, in rows of their own, shingle counts over each task's rows (stripe, counts)."""
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        names = ["doc_id", "n", "sig", "shape", "at", "c"]
-        key = pa.int64()
+        total = np.zeros(counters, np.uint32)
+        names = ["doc_id", "k", "n", "sig", "shape", "stripe", "counts"]
+        key, mask = pa.int64(), np.uint64(counters - 1)
         for batch in batches:
-            key = batch.schema.field(0).type
+            key, m = batch.schema.field(0).type, batch.num_rows
             size, sig, shapes = [], [], []
-            for t in batch.column(1).to_pylist():
-                s = shingles(t, width)
+            for s in shingle_sets(batch.column(1).to_pylist(), width):
                 size.append(len(s))
                 shapes.append(shape(s))
-                sig.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
-                np.add.at(total, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-            none = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(shapes, pa.binary()), none, none.cast(pa.int64())], names=names)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 50_000):  # the task's counters follow its rows
-            part = at[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), key), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.binary()), pa.array(part.astype(np.int32)), pa.array(total[part])], names=names)
-
-    made = written(only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, sig binary, shape binary, at int, c bigint"), "sets")
-    rows = made.where("at IS NOT NULL").groupBy("at").agg(F.sum("c").alias("c")).toPandas()
-    counts = np.zeros(SKETCH, np.int64)
-    counts[rows["at"].to_numpy(int)] = rows["c"].to_numpy(int)
-    return made.where("at IS NULL").select("doc_id", "n", "sig", "shape"), counts
-
-
-def _prefixes(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(token, pos, n, sig): the rarest shingles of every set."""
-    order = counts.argsort(kind="stable").argsort().astype(np.uint64)  # ranks of counters
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        token, pos, size, sig = [], [], [], []
-        for t in batch.column(0).to_pylist():
-            s = shingles(t, width)
-            if not len(s):
-                continue
-            n = len(s)
-            p = prefix_length(n, percent)
-            rank = order[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-            first = np.lexsort((s, rank))[:p]
-            token.append(s[first].view(np.int64))
-            pos.append(np.arange(p))
-            size.append(np.full(p, n))
-            sig += [xxhash.xxh128_digest(s.tobytes())] * p
-        join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(join(token)), pa.array(join(pos).astype(np.int32)), pa.array(join(size).astype(np.int32)), pa.array(sig, pa.binary())], names=["token", "pos", "n", "sig"])
-
-    return map_batches(only(docs, "text"), run, "token bigint, pos int, n int, sig binary")
-
-
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Rows of one key after another, from batches sorted by it."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and keys[a] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = keys[a]
-    if held:
-        yield pa.Table.from_batches(held)
+                sig.append(signature(s) if len(s) else None)
+                np.add.at(total, (s & mask).astype(np.int64), np.uint32(1))
+            columns = [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(shapes, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        rows = [(k // STRIPE, _packed(total[k : k + STRIPE])) for k in range(0, counters, STRIPE) if total[k : k + STRIPE].any()]
+        for stripe, counts in rows:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([stripe], pa.int32()), pa.array([counts], pa.binary())], names=names)
 
+    return docs.select("doc_id", "text", _text_key().alias("k")).mapInArrow(run, f"doc_id {kind}, k bigint, n bigint, sig binary, shape binary, stripe int, counts binary")
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    planes = counts.astype("<u4").view(np.uint8).reshape(-1, 4).T  # bytes of one weight together
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * STRIPE, codec="zstd", asbytes=True), np.uint8).reshape(4, STRIPE)
+    return np.ascontiguousarray(planes.T).view("<u4")[:, 0]
 
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """Rows of shingles that several sets have in their prefixes, with the earliest member of each."""
+
+def _levels(parts: DataFrame, counters: int) -> np.ndarray:
+    """How common the shingles of every counter are, in 256 steps."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for stripe, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if stripe not in total:
+                    total[stripe] = np.zeros(STRIPE, np.int64)
+                total[stripe] += _unpacked(counts)
+        for stripe, counts in total.items():
+            usual = float(np.median(counts))  # shingles beyond the usual fill of a counter stand out by its spread
+            beyond = np.maximum(counts - usual, 0) / max(1.0, math.sqrt(usual))
+            level = np.minimum(255, 16 * np.log2(1 + beyond)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([stripe], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["stripe", "levels"])
+
+    out = np.zeros(max(counters, STRIPE), np.uint8)
+    for r in parts.repartition("stripe").mapInArrow(add, "stripe int, levels binary").collect():  # SKETCH bytes at most
+        out[r["stripe"] * STRIPE : (r["stripe"] + 1) * STRIPE] = np.frombuffer(r["levels"], np.uint8)
+    return out
+
+
+# ---------------------------------------------------------------- prefixes
+
+
+def _binary16(x: np.ndarray) -> pa.Array:
+    """Rows of two 64-bit halves as binary values."""
+    n = len(x)
+    offsets = np.arange(0, 16 * (n + 1), 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _halves(column: pa.Array) -> np.ndarray:
+    """The 64-bit halves of 16-byte values."""
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint64, 2 * len(column), int(first)).reshape(-1, 2) if len(column) else np.zeros((0, 2), np.uint64)
+
+
+def _prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """(token, place, sig): the rarest shingles of every set, once a task; place holds position and size."""
+    ship(docs.sparkSession)
+    counters = len(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("token", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("sig", pa.binary()), ("hub", pa.binary()), ("hub_pos", pa.int32()), ("hub_n", pa.int32())])
-        token = hub = None  # the first row of the shingle at hand, and whether it is out already
-        shown, before = False, None
+        mask, seen = np.uint64(counters - 1), set()
         for batch in batches:
-            out: list[tuple] = []
-            for t, p, n, s in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if t != token:
-                    token, hub, shown, before = t, (p, n, s), False, s
-                elif s != before:  # equal sets come one after another, as pos, n and sig are the same
-                    before = s
-                    if not shown:
-                        out.append((t, hub[0], hub[1], hub[2], hub[2], hub[0], hub[1]))
-                        shown = True
-                    out.append((t, p, n, s, hub[2], hub[0], hub[1]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            token, place, sigs = [], [], []
+            for s in shingle_sets(batch.column(0).to_pylist(), width):
+                if not len(s):
+                    continue
+                sig = signature(s)
+                if sig in seen:
+                    continue
+                seen.add(sig)
+                n = len(s)
+                p = prefix_length(n, percent)
+                key = levels[(s & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
+                first = key.argsort(kind="stable")[:p]
+                token.append(s[first])
+                place.append(np.arange(p, dtype=np.int64) << 32 | n)
+                sigs.append(np.broadcast_to(np.frombuffer(sig, np.uint64), (p, 2)))
+            if token:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(place)), _binary16(np.concatenate(sigs))], names=["token", "place", "sig"])
+
+    return only(docs, "text").mapInArrow(run, _KEY)
 
-    parts = prefixes.repartition(shuffle_partitions(prefixes.sparkSession), "token").sortWithinPartitions("token", "pos", "n", "sig")
-    return parts.mapInArrow(run, "token bigint, pos int, n int, sig binary, hub binary, hub_pos int, hub_n int")
+
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """Rows of shingles that several sets have in their prefixes, with the earliest member of each (the hub)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last row before this batch: token, place, sig, the place and sig of its bucket's first row, whether it is out
+        last: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, place, sig = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), _halves(batch.column(2))
+            if last:
+                token, place, sig = np.r_[last[0], token], np.r_[last[1], place], np.vstack([last[2], sig])
+            same = token[1:] == token[:-1]
+            fresh = np.r_[True, ~(same & (sig[1:] == sig[:-1]).all(axis=1))]  # equal sets of several tasks come one after another
+            token, place, sig = token[fresh], place[fresh], sig[fresh]
+            n = len(token)
+            begins = np.r_[True, token[1:] != token[:-1]]
+            first = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+            hub_place, hub = place[first], sig[first]
+            out = ~begins
+            out[:-1] |= begins[:-1] & ~begins[1:]
+            if last:
+                mine = first == 0
+                hub_place[mine], hub[mine] = last[3], last[4]
+                out[0] &= not last[5]
+            shown = bool(out[-1]) or bool(last and n == 1 and last[5])
+            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(place[out]), _binary16(sig[out]), _binary16(hub[out]), pa.array(hub_place[out])], names=["token", "place", "sig", "hub", "hub_place"])
+            last = (token[-1], place[-1], sig[-1].copy(), hub_place[-1], hub[-1].copy(), shown)
+
+    parts = prefixes.repartition("token").sortWithinPartitions("token", "place", "sig")
+    return parts.mapInArrow(run, f"{_KEY}, hub binary, hub_place bigint")
+
+
+# ---------------------------------------------------------------- pairs
 
 
 def _reach(percent: int, pos_a, n_a, pos_b, n_b):  # noqa: ANN001, ANN202
@@ -201,106 +226,194 @@ def _reach(percent: int, pos_a, n_a, pos_b, n_b):  # noqa: ANN001, ANN202
     return (100 * low >= percent * high) & (np.minimum(n_a - pos_a, n_b - pos_b) >= need)
 
 
-def _cross(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket, of different components, that pass the filters. rows: token, pos, n, sig, label, shape."""
+def _stars(shared: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each set with one hub that it may link to."""
+    n, m = F.col("place").bitwiseAND(0xFFFFFFFF), F.col("hub_place").bitwiseAND(0xFFFFFFFF)
+    need = F.ceil(F.lit(percent) * (n + m) / (100 + percent) - 1e-9)
+    rest = F.least(n - F.shiftright("place", 32), m - F.shiftright("hub_place", 32))
+    near = shared.where(F.col("sig") != F.col("hub")).where((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest >= need))
+    # one hub for each; the rest is the next step's
+    one = near.groupBy(F.col("sig").alias("a")).agg(F.min(F.struct(F.shiftright("hub_place", 32).alias("p"), "hub", n.alias("n_a"), m.alias("n_b"))).alias("h")).select("a", "h.hub", "h.n_a", "h.n_b")
+    both = one.withColumnRenamed("hub", "b").join(shapes.toDF("a", "shape_a"), "a").join(shapes.toDF("b", "shape_b"), "b")
+
+    def fits(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = [_suffix_reach(percent, *row) for row in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return map_batches(both.select("a", "b", "shape_a", "shape_b", "n_a", "n_b"), fits, "a binary, b binary")
+
+
+def _size_range(n: Column, percent: int) -> Column:
+    """Sets that may link lie in the same or in neighbouring ranges."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else n
+
+
+def _cross(shared: DataFrame, shapes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket, of different components, that pass the filters."""
+    rows = shared.select("token", "place", "sig").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.xxhash64(F.coalesce("label", "sig")))
+    mixed = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+    n = F.col("place").bitwiseAND(0xFFFFFFFF)
+    rows = rows.join(mixed, "token", "left_semi").join(shapes, "sig")
+    at = _size_range(n, percent)
+    rows = rows.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("range", at + F.col("guest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a: list[bytes] = []
-        out_b: list[bytes] = []
-        for group in _groups(batches, "token"):
-            pos, n = (group.column(c).to_numpy().astype(np.int64) for c in ("pos", "n"))
-            label = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)[1]
-            if label.max() == 0:
-                continue
-            sig, own = group.column("sig").to_pylist(), group.column("shape").to_pylist()
-            for i in range(1, len(sig)):
-                fits = (label[:i] != label[i]) & _reach(percent, pos[:i], n[:i], pos[i], n[i])
-                for j in np.flatnonzero(fits):
-                    if not _suffix_reach(percent, own[i], own[j], int(n[i]), int(n[j])):
-                        continue
-                    out_a.append(min(sig[i], sig[j]))
-                    out_b.append(max(sig[i], sig[j]))
-                if len(out_a) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
-                    out_a, out_b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
-
-    parts = rows.repartition(shuffle_partitions(rows.sparkSession), "token").sortWithinPartitions("token")
+        bucket, held = None, []  # the members so far, those of the range below first
+        out: list[tuple[bytes, bytes]] = []
+        for batch in batches:
+            for t, q, guest, place, sig, label, own in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if (t, q) != bucket:
+                    bucket, held, known = (t, q), [], _Members()
+                if not guest:
+                    for j in known.near(place >> 32, place & 0xFFFFFFFF, label, own, percent):
+                        out.append((min(held[j], sig), max(held[j], sig)))
+                known.add(place >> 32, place & 0xFFFFFFFF, label, own)
+                held.append(sig)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
+                out = []
+
+    parts = rows.select("token", "range", "guest", "place", "sig", "label", "shape").repartition("token", "range").sortWithinPartitions("token", "range", F.desc("guest"))
+    ship(shared.sparkSession)
     return parts.mapInArrow(run, "a binary, b binary").distinct()
 
 
+class _Members:
+    """Members of a bucket as growing arrays."""
+
+    def __init__(self) -> None:
+        self.n = 0
+        self.numbers = np.zeros((3, 16), np.int64)  # position, size, label
+        self.shapes = np.zeros((16, 32), np.uint8)
+
+    def add(self, pos: int, size: int, label: int, own: bytes) -> None:
+        if self.n == self.numbers.shape[1]:
+            self.numbers = np.hstack([self.numbers, np.zeros_like(self.numbers)])
+            self.shapes = np.vstack([self.shapes, np.zeros_like(self.shapes)])
+        self.numbers[:, self.n] = pos, size, label
+        self.shapes[self.n] = np.frombuffer(own, np.uint8) if own else 255
+        self.n += 1
+
+    def near(self, pos: int, size: int, label: int, own: bytes, percent: int) -> np.ndarray:
+        """Members of other labels that may link."""
+        p, n, labels = self.numbers[:, : self.n]
+        at = np.flatnonzero((labels != label) & _reach(percent, p, n, pos, size))
+        if own and len(at):
+            common = np.minimum(self.shapes[at], np.frombuffer(own, np.uint8)).sum(axis=1, dtype=np.int64)
+            at = at[(common >= overlap_needed(percent, n[at], size))]
+        return at
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. sets: (sig, s)."""
-    left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep, last, other = [], None, np.zeros(0, np.uint64)
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if y != last:
-                last, other = y, np.frombuffer(y, np.uint64)
-            one = np.frombuffer(x, np.uint64)
-            small, large = (one, other) if len(one) <= len(other) else (other, one)
-            at = np.searchsorted(large, small)
-            common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            keep.append(100 * common >= percent * (len(one) + len(other) - common))
-        mask = pa.array(keep, pa.bool_())
-        return pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    return map_batches(both.select("a", "b", "sa", "sb"), run, "a binary, b binary")
+    """The pairs (a, b) that link, each compared once. sets: (sig, s).
 
+    Pairs meet at b, their centre; a centre of many pairs is dealt out, and its set goes once to each share.
+    """
+    size = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    members = pairs.join(size, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "a")
+    members = members.join(sets.select(F.col("sig").alias("a"), "s"), "a").select("b", "salt", "a", "s")
+    centres = size.join(sets.select(F.col("sig").alias("b"), "s"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("a"), "s")
 
-def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
-    docs = only(docs, "doc_id", "text")
-    rows, counts = _sets(docs, width)
-    shared = written(_shared(_prefixes(docs, width, percent, counts)), "prefixes")
-    release(docs.sparkSession)
-    star = shared.where("sig <> hub AND 100 * least(n, hub_n) >= %d * greatest(n, hub_n)" % percent).where(
-        f"least(n - pos, hub_n - hub_pos) >= ceil({percent} * (n + hub_n) / {100 + percent}.0D - 1e-9)"
-    )
-    star = star.groupBy(F.col("sig").alias("a"), F.col("n").alias("n_a")).agg(F.min(F.struct("hub_pos", "hub", "hub_n")).alias("h"))  # one hub for each; the rest is the next step's
-    named = written(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("shape").alias("shape")), "named")
-    shapes = named.select("sig", "shape")
-    star = star.select("a", "n_a", F.col("h.hub").alias("b"), F.col("h.hub_n").alias("n_b"))
-    star = star.join(shapes.toDF("a", "shape_a"), "a").join(shapes.toDF("b", "shape_b"), "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros(0, np.uint64)
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for b, a, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                one = np.frombuffer(s.as_buffer(), np.uint64)
+                if a is None:
+                    centre = one.copy()
+                    continue
+                small_, large = (one, centre) if len(one) <= len(centre) else (centre, one)
+                common = int((large[np.minimum(np.searchsorted(large, small_), len(large) - 1)] == small_).sum())
+                if 100 * common >= percent * (len(one) + len(centre) - common):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)] if out else [pa.array([], pa.binary())] * 2, names=["a", "b"])
+
+    ship(pairs.sparkSession)
+    parts = members.unionByName(centres).repartition("b", "salt").sortWithinPartitions("b", "salt", F.asc_nulls_first("a"))
+    return parts.mapInArrow(run, "a binary, b binary").distinct()
 
-    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [_suffix_reach(percent, *row) for row in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
-        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    star = written(map_batches(star.select("a", "b", "shape_a", "shape_b", "n_a", "n_b"), near, "a binary, b binary"), "stars")
-    kind = dict(docs.dtypes)["doc_id"]
+# ---------------------------------------------------------------- the join
 
-    def load(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [shingles(t, width).tobytes() for t in batch.column(1).to_pylist()]
-        same = [xxhash.xxh128_digest(s) == sig for s, sig in zip(made, batch.column(0).to_pylist())]  # an id may come with several texts
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["sig", "s"]).filter(pa.array(same, pa.bool_()))
+
+def _classed(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, k, n, sig) of all documents, and for every set (sig) its class, a smallest id and the text key k of its row."""
+    docs = only(docs, "doc_id", "text")
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counters = min(max(SKETCH[0], 1 << max(1, size // BYTES).bit_length()), SKETCH[1])
+    made = written(_sets(docs, width, counters), "sets")
+    rows = made.where("stripe IS NULL").select("doc_id", "k", "n", "sig", "shape")
+    levels = _levels(made.where("stripe IS NOT NULL").select("stripe", "counts"), counters)
+    shared = written(_shared(_prefixes(docs, width, percent, levels)), "prefixes")
+    release(spark)
+    named = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min_by("k", "doc_id").alias("k"), F.min("k").alias("least"), F.first("shape").alias("shape"))
+    named = written(named.select("sig", "rep", F.coalesce("k", "least").alias("k"), "shape"), "named")
+    shapes = named.select("sig", "shape")
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            made, own = [], []
+            for sig, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width)):
+                if sig not in seen and signature(s) == sig:
+                    seen.add(sig)
+                    own.append(sig)
+                    made.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(made, pa.binary())], names=["sig", "s"])
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        """The sets of all members of pairs, made from the texts again."""
+        """The sets of all members of pairs, made from one text of each again."""
         members = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-        nodes = written(members.join(named, "sig").where("rep IS NOT NULL").select("sig", F.col("rep").cast(kind).alias("doc_id")), f"{name}-nodes")
-        texts = docs.join(small(nodes, NODES), "doc_id").select("sig", "text")
-        return written(map_batches(texts, load, "sig binary, s binary"), name)
-
-    links = written(_verified(star, sets_of(star, "star-sets"), percent).distinct(), "links")
+        nodes = small(written(members.join(named, "sig").select("sig", F.col("rep").cast(kind).alias("rep"), F.col("k").alias("rep_k")), f"{name}-nodes"))
+        texts = docs.withColumn("k", _text_key()).join(nodes, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("k") == F.col("rep_k"))).select("sig", "text")
+        return written(texts.mapInArrow(load, "sig binary, s binary"), name)
+
+    star = written(_stars(shared, shapes, percent), "stars")
+    star_sets = sets_of(star, "star-sets")
+    links = written(_verified(star, star_sets, percent), "links")
+    drop_written(star_sets)
     labels = components(links)
-    release(docs.sparkSession)
-    labelled = shared.select("token", "pos", "n", "sig").join(shapes.join(labels.withColumnRenamed("node", "sig"), "sig", "left"), "sig").withColumn("label", F.coalesce("label", "sig"))
-    more = _cross(labelled, percent)
-    more = more.join(star.select("a", "b"), ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = written(more, "pairs")
-    found = _verified(more, sets_of(more, "pair-sets"), percent)
-    final = components(links.union(found))
-    smallest = final.join(named, final["node"] == named["sig"]).groupBy("label").agg(F.min("rep").alias("least"))
-    by_sig = final.join(smallest, "label").select(F.col("node").alias("sig"), "least")
-    classed = named.join(by_sig, "sig", "left").select("sig", F.least("rep", F.coalesce("least", "rep")).alias("component_id"))
-    out = rows.join(classed, "sig", "left")
+    release(spark)
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = written(_cross(shared, shapes, labels, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    drop_written(shared, star)
+    release(spark)
+    if not more.isEmpty():
+        pair_sets = sets_of(more, "pair-sets")
+        found = written(_verified(more, pair_sets, percent), "more-links")
+        drop_written(pair_sets, more)
+        if not found.isEmpty():
+            labels = components(links.union(found))
+    classed = named.select("sig", "rep", "k").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("class", F.coalesce("label", "sig"))
+    return rows.select("doc_id", "k", "n", "sig"), classed.select("sig", "class", "rep", "k")
+
+
+def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
+    rows, classed = _classed(docs, width, percent)
+    least = classed.groupBy("class").agg(F.min("rep").alias("component_id"))
+    out = rows.join(classed.join(least, "class").select("sig", "component_id"), "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each class, the one of the smallest id; texts without words all stay. All columns."""
-    kept = classes(docs, width, percent).where("component_id = doc_id OR component_id IS NULL").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
+    """One document of each class, the one of the smallest id that isn't null, with all its columns.
+
+    Of rows that share this id and text, one stays; texts without words all stay.
+    """
+    rows, classed = _classed(docs, width, percent)
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "k")).alias("f")
+    chosen = classed.join(classed.groupBy("class").agg(first), "class").select("sig", F.col("f.rep").alias("rep"), F.col("f.k").alias("rep_k"))
+    judged = rows.where("sig IS NOT NULL").groupBy("doc_id", "k", "sig").agg(F.count("*").alias("rows")).join(chosen, "sig")
+    mine = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("k") == F.col("rep_k"))
+    judged = written(judged.where(~mine | (F.col("rows") > 1)).select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), mine.alias("_mine")), "judged")
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, _text_key())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_k"))
+    repeated = judged.where("_mine").select("_id", "_k")
+    if repeated.isEmpty():
+        return only(keyed.join(small(judged.select("_id", "_k")), same, "left_anti"), *docs.columns)
+    once = keyed.join(small(repeated), same, "left_semi").dropDuplicates(["doc_id", key])
+    return only(keyed.join(small(judged.select("_id", "_k")), same, "left_anti").unionByName(once), *docs.columns)

@@ -41,8 +41,6 @@ from deltaloop.llm.common import map_batches, only, small, utf8, written
 PAGES, SHARE = 3, 0.5
 #: More than this share of links makes a slot navigation; up to this share of a slot's text may be on the other side of an article's border.
 LINKS, MIXED = 0.8, 0.1
-#: So many hosts at most are broadcast.
-HOSTS = 100_000
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)
     |<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^<>"']|"[^"]*"|'[^']*')*)(?:>|$)""",
@@ -250,7 +248,7 @@ def _nests(one: list[int], other: list[int]) -> bool:
 
 def _by_host(pages: DataFrame, made: DataFrame) -> DataFrame:
     """Pages with what was made for their host; most hosts are broadcast, so that one of many pages is no large task."""
-    return pages.join(small(made, HOSTS), "host", "left")
+    return pages.join(small(made), "host", "left")
 
 
 def _per_host(batch: pa.RecordBatch, column: str, make):  # noqa: ANN001, ANN202

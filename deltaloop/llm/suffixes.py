@@ -39,8 +39,6 @@ from deltaloop.llm.common import map_batches, only, release, ship, small, writte
 LENGTH, GRAM, SAMPLE, FINE = 400, 128, 128, 16
 #: First compared bytes and step of the refinement; different segments that one task takes of a bucket; bytes worked on at a time.
 Q, WIDE, CHUNK = 100, 20_000, 4_000_000
-#: Most texts whose lists are sent to all tasks; more meet their texts by a shuffle.
-KEYS = 300_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -164,7 +162,7 @@ def _fetch(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     texts = docs.where(F.octet_length("text") >= length).select(F.unhex(F.md5("text")).alias("key"), "text")
     lists = written(wanted.groupBy("key").agg(F.collect_list(F.struct("g", "lo", "hi", "open")).alias("items")), "wanted")
     # equal texts give equal rows here; one of them is enough, and the bucket's rows are told apart by key and lo
-    joined = texts.join(small(lists, KEYS), "key").select("key", "text", "items")
+    joined = texts.join(small(lists), "key").select("key", "text", "items")
     return map_batches(joined, run, "g bigint, key binary, lo int, hi int, open boolean, s binary")
 
 
@@ -275,5 +273,5 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         kinds = [pa.int64()] * 3 + [pa.string()] + [pa.list_(pa.int64())] * 2
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "begins", "ends"])
 
-    keyed = docs.withColumn("key", F.unhex(F.md5("text"))).join(small(spans, KEYS), "key", "left").select("doc_id", "text", "spans")
+    keyed = docs.withColumn("key", F.unhex(F.md5("text"))).join(small(spans), "key", "left").select("doc_id", "text", "spans")
     return map_batches(keyed, strip, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, begins array<bigint>, ends array<bigint>")

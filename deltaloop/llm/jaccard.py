@@ -23,6 +23,7 @@ row, and the class is named by the smallest id that isn't null (null if there is
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ SKETCH, BYTES = (1 << 16, 1 << 24), 256
 STRIPE = 1 << 16
 #: Most members of a centre that one task compares.
 SALT = 2_000
+#: Largest bucket whose pairs are all tried by the length and positional filters when it is read; of a larger one all rows go on.
+PAIRED = 32
 _KEY = "token bigint, place bigint, sig binary"
 
 
@@ -183,34 +186,68 @@ def _prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) ->
     return only(docs, "text").mapInArrow(run, _KEY)
 
 
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """Rows of shingles that several sets have in their prefixes, with the earliest member of each (the hub)."""
+def _met(place: np.ndarray, first: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in buckets (first: index of the bucket's first row, size: its rows): which may link to another of the bucket, and the earliest such one.
+
+    Rows of buckets over PAIRED all stay, with the bucket's first.
+    """
+    pos, n = place >> 32, place & 0xFFFFFFFF
+    keep, hub = size > PAIRED, first.copy()
+    at = np.flatnonzero((size > 1) & (size <= PAIRED))
+    d = 0
+    while len(at):
+        d += 1
+        at = at[at + d < first[at] + size[at]]
+        i = at[_reach(percent, pos[at], n[at], pos[at + d], n[at + d])]
+        keep[i] = keep[i + d] = True
+        hub[i + d] = i  # a larger distance is an earlier row
+    return keep, hub
+
+
+def _shared(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Rows of shingles that several sets have in their prefixes and that pass the length and positional filters there, each with the earliest member that it may link to (the hub)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the last row before this batch: token, place, sig, the place and sig of its bucket's first row, whether it is out
-        last: tuple | None = None
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64))  # a bucket that may go on
+        wide: tuple | None = None  # a bucket over PAIRED that goes on: its token, its first row and its last one
+
+        def made(token: np.ndarray, place: np.ndarray, sig: np.ndarray, hub: np.ndarray, hub_place: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(place), _binary16(sig), _binary16(hub), pa.array(hub_place)], names=["token", "place", "sig", "hub", "hub_place"])
+
+        def buckets(token: np.ndarray, place: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+            begins = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            size = np.diff(np.r_[begins, len(token)])
+            first, size = np.repeat(begins, size), np.repeat(size, size)
+            keep, hub = _met(place, first, size, percent)
+            return made(token[keep], place[keep], sig[keep], sig[hub[keep]], place[hub[keep]])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, place, sig = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), _halves(batch.column(2))
-            if last:
-                token, place, sig = np.r_[last[0], token], np.r_[last[1], place], np.vstack([last[2], sig])
-            same = token[1:] == token[:-1]
-            fresh = np.r_[True, ~(same & (sig[1:] == sig[:-1]).all(axis=1))]  # equal sets of several tasks come one after another
-            token, place, sig = token[fresh], place[fresh], sig[fresh]
-            n = len(token)
-            begins = np.r_[True, token[1:] != token[:-1]]
-            first = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
-            hub_place, hub = place[first], sig[first]
-            out = ~begins
-            out[:-1] |= begins[:-1] & ~begins[1:]
-            if last:
-                mine = first == 0
-                hub_place[mine], hub[mine] = last[3], last[4]
-                out[0] &= not last[5]
-            shown = bool(out[-1]) or bool(last and n == 1 and last[5])
-            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(place[out]), _binary16(sig[out]), _binary16(hub[out]), pa.array(hub_place[out])], names=["token", "place", "sig", "hub", "hub_place"])
-            last = (token[-1], place[-1], sig[-1].copy(), hub_place[-1], hub[-1].copy(), shown)
+            token = np.r_[held[0], batch.column(0).to_numpy(zero_copy_only=False)]
+            place, sig = np.r_[held[1], batch.column(1).to_numpy(zero_copy_only=False)], np.vstack([held[2], _halves(batch.column(2))])
+            new = np.r_[True, (token[1:] != token[:-1]) | (sig[1:] != sig[:-1]).any(axis=1)]  # equal sets of several tasks come one after another
+            if wide and token[0] == wide[0] and (sig[0] == wide[4]).all():
+                new[0] = False
+            token, place, sig = token[new], place[new], sig[new]
+            if wide:
+                k = int(np.searchsorted(token, wide[0], "right")) if len(token) and token[0] == wide[0] else 0
+                if k:
+                    yield made(token[:k], place[:k], sig[:k], np.broadcast_to(wide[3], (k, 2)), np.full(k, wide[2]))
+                    wide = (*wide[:4], sig[k - 1].copy())
+                if k == len(token):
+                    held = (token[:0], place[:0], sig[:0])
+                    continue
+                token, place, sig, wide = token[k:], place[k:], sig[k:], None
+            at = int(np.searchsorted(token, token[-1]))
+            if len(token) - at > PAIRED:
+                wide = (token[-1], None, place[at], sig[at].copy(), sig[-1].copy())
+                at = len(token)
+            if at:
+                yield buckets(token[:at], place[:at], sig[:at])
+            held = (token[at:], place[at:], sig[at:])
+        if len(held[0]):
+            yield buckets(*held)
 
     parts = prefixes.repartition("token").sortWithinPartitions("token", "place", "sig")
     return parts.mapInArrow(run, f"{_KEY}, hub binary, hub_place bigint")
@@ -304,24 +341,24 @@ class _Members:
         return at
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, each compared once. sets: (sig, s).
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, each compared once on the whole sets. texts: (sig, s), a packed text of each set.
 
     Pairs meet at b, their centre; a centre of many pairs is dealt out, and its set goes once to each share.
     """
     size = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     members = pairs.join(size, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "a")
-    members = members.join(sets.select(F.col("sig").alias("a"), "s"), "a").select("b", "salt", "a", "s")
-    centres = size.join(sets.select(F.col("sig").alias("b"), "s"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("a"), "s")
+    members = members.join(texts.select(F.col("sig").alias("a"), "s"), "a").select("b", "salt", "a", "s")
+    centres = size.join(texts.select(F.col("sig").alias("b"), "s"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("a"), "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = np.zeros(0, np.uint64)
         for batch in batches:
             out: list[tuple[bytes, bytes]] = []
-            for b, a, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                one = np.frombuffer(s.as_buffer(), np.uint64)
+            texts = (zlib.decompress(s).decode() for s in batch.column(3).to_pylist())
+            for b, a, one in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(texts, width)):
                 if a is None:
-                    centre = one.copy()
+                    centre = one
                     continue
                 small_, large = (one, centre) if len(one) <= len(centre) else (centre, one)
                 common = int((large[np.minimum(np.searchsorted(large, small_), len(large) - 1)] == small_).sum())
@@ -346,7 +383,7 @@ def _classed(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     made = written(_sets(docs, width, counters), "sets")
     rows = made.where("stripe IS NULL").select("doc_id", "k", "n", "sig", "shape")
     levels = _levels(made.where("stripe IS NOT NULL").select("stripe", "counts"), counters)
-    shared = written(_shared(_prefixes(docs, width, percent, levels)), "prefixes")
+    shared = written(_shared(_prefixes(docs, width, percent, levels), percent), "prefixes")
     release(spark)
     named = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min_by("k", "doc_id").alias("k"), F.min("k").alias("least"), F.first("shape").alias("shape"))
     named = written(named.select("sig", "rep", F.coalesce("k", "least").alias("k"), "shape"), "named")
@@ -355,25 +392,25 @@ def _classed(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            made, own = [], []
-            for sig, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width)):
+            made, own, texts = [], [], batch.column(1).to_pylist()
+            for sig, text, s in zip(batch.column(0).to_pylist(), texts, shingle_sets(texts, width)):
                 if sig not in seen and signature(s) == sig:
                     seen.add(sig)
                     own.append(sig)
-                    made.append(s.tobytes())
+                    made.append(zlib.compress(text.encode(), 1))
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(made, pa.binary())], names=["sig", "s"])
 
-    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        """The sets of all members of pairs, made from one text of each again."""
+    def texts_of(pairs: DataFrame, name: str) -> DataFrame:
+        """One text of each member of pairs, packed: it takes less room than its set, which is made again where it is compared."""
         members = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
         nodes = small(written(members.join(named, "sig").select("sig", F.col("rep").cast(kind).alias("rep"), F.col("k").alias("rep_k")), f"{name}-nodes"))
         texts = docs.withColumn("k", _text_key()).join(nodes, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("k") == F.col("rep_k"))).select("sig", "text")
         return written(texts.mapInArrow(load, "sig binary, s binary"), name)
 
     star = written(_stars(shared, shapes, percent), "stars")
-    star_sets = sets_of(star, "star-sets")
-    links = written(_verified(star, star_sets, percent), "links")
-    drop_written(star_sets)
+    star_texts = texts_of(star, "star-texts")
+    links = written(_verified(star, star_texts, width, percent), "links")
+    drop_written(star_texts)
     labels = components(links)
     release(spark)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -381,9 +418,9 @@ def _classed(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     drop_written(shared, star)
     release(spark)
     if not more.isEmpty():
-        pair_sets = sets_of(more, "pair-sets")
-        found = written(_verified(more, pair_sets, percent), "more-links")
-        drop_written(pair_sets, more)
+        pair_texts = texts_of(more, "pair-texts")
+        found = written(_verified(more, pair_texts, width, percent), "more-links")
+        drop_written(pair_texts, more)
         if not found.isEmpty():
             labels = components(links.union(found))
     classed = named.select("sig", "rep", "k").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("class", F.coalesce("label", "sig"))

@@ -7,7 +7,7 @@ the bytes worked on at a time (CHUNK, or one text's longest word if that is long
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -98,7 +98,7 @@ def _group(raws: list[bytes], width: int) -> Iterator[np.ndarray]:
             yield _distinct(runs[a : b - width + 1]) if b - a >= width else _joined(h[a:b], b - a) if b > a else h[:0]
 
 
-def shingle_sets(texts: Sequence[str | None], width: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles; a text of fewer words is one shingle of all of them."""
     held: list[bytes] = []
     size = 0

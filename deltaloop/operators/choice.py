@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloop.functions.columns import col, hash_priority, row_struct
-from deltaloop.functions.session import cut
+from deltaloop.functions.session import stored
 
 
 def best_per_key(df: DataFrame, key: Sequence[str], merge: str = "first") -> DataFrame:
@@ -33,7 +33,7 @@ def choose(df: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
     if len(keys) == 1:
         return best_per_key(df, keys[0])
     names = df.columns
-    left = cut(df.distinct())
+    left = stored(df.distinct())
     kept: DataFrame | None = None
     while not left.isEmpty():
         ranked = left.withColumn("_order", hash_priority(names))
@@ -41,9 +41,9 @@ def choose(df: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
         for key in keys:
             first = ranked.groupBy(*[col(k) for k in key]).agg(F.min("_order").alias("_order")).select("_order")
             winners = winners.join(first, "_order", "left_semi")
-        winners = cut(winners.select(*[col(n) for n in names]))
+        winners = stored(winners.select(*[col(n) for n in names]))
         kept = winners if kept is None else kept.union(winners)
         for key in keys:
             left = left.join(winners.select(*[col(k) for k in key]), list(key), "left_anti")
-        left = cut(left.select(*[col(n) for n in names]))
+        left = stored(left.select(*[col(n) for n in names]))
     return kept if kept is not None else left

@@ -80,7 +80,7 @@ def _needed(parts: list[Atom | Compare]) -> set[str]:
     return set().union(*(p.variables() for p in parts)) if parts else set()
 
 
-def _order(rule: Rule, first: int | None) -> list[int]:
+def join_order(rule: Rule, first: int | None) -> list[int]:
     """The delta atom, then whatever shares a bound variable, in the order written."""
     atoms = rule.positive
     left = list(range(len(atoms)))
@@ -107,7 +107,7 @@ def compile_rule(rule: Rule, decl: Decl, read: Callable[[Atom, int], DataFrame],
     """read gives the DataFrame of the k-th positive atom (or of a negated one, k = -1)."""
     atoms = rule.positive
     waiting: list[Compare | Atom] = [*rule.comparisons, *rule.negative]
-    order = _order(rule, first)
+    order = join_order(rule, first)
     bound: set[str] = set()
     out: DataFrame | None = None
     for step, k in enumerate(order):

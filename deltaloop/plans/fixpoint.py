@@ -2,8 +2,12 @@
 
 Per stratum: rules that do not recurse are evaluated once. Each round then evaluates, for every
 recursive atom, the variant that reads this atom's delta and the full relation elsewhere; the union
-is deduplicated, rows already known are removed by a left anti join, and the delta is checkpointed
-to the shared folder. The full relation is a list of disjoint deltas, compacted now and then.
+is deduplicated, rows already known are removed by a left anti join, and the delta is written
+to the shared folder. The full relation is a list of disjoint deltas, compacted now and then; a
+relation whose dependent columns improve is a list of improvements, resolved when it is read.
+
+Where few rows were made and the full relation is large, the few are broadcast and the full relation
+is only scanned, so late rounds do not shuffle it.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloop.functions.columns import col, row_struct
-from deltaloop.functions.session import cut, shuffle_partitions
+from deltaloop.functions.session import drop, is_stored, shuffle_partitions, stored
 from deltaloop.operators.choice import best_per_key, choose
 from deltaloop.plans.compile import compile_rule, head_frame
 from deltaloop.plans.model import Atom, Decl, Program, Rule
@@ -24,6 +28,8 @@ from deltaloop.plans.stratify import strata
 
 #: Deltas of a relation that are held apart before they are written together.
 COMPACT_EVERY = 8
+#: From so many rows on, a full relation is scanned for few new ones (at most so many) instead of shuffled.
+LARGE, FEW = 20_000_000, 1_000_000
 
 
 @dataclass
@@ -55,19 +61,25 @@ class Result:
 class _Relation:
     def __init__(self, decl: Decl, base: DataFrame) -> None:
         self.decl = decl
-        self.parts = [cut(base)]
+        self.tables = [stored(base)]  # what parts read
+        self.parts = list(self.tables)
         self.delta = self.parts[0]
-        self.new = self.delta.count()
-        self.rows = self.new
+        self.new = self.rows = self.delta.count()
+        self.improves = bool(decl.keys) and decl.merge != "first"
 
     @property
     def full(self) -> DataFrame:
-        return reduce(DataFrame.union, self.parts)
+        every = reduce(DataFrame.union, self.parts)
+        return best_per_key(every, self.decl.keys[0], self.decl.merge) if self.improves and len(self.parts) > 1 else every
 
     def unknown(self, made: DataFrame) -> DataFrame:
         """The rows of made that the relation lacks, as its dependencies see it."""
         decl, full = self.decl, self.full
         if not decl.keys:
+            if self.rows > LARGE and self.new <= FEW:
+                made = stored(made.distinct())
+                if made.count() <= FEW:
+                    return made.join(F.broadcast(full.join(F.broadcast(made), decl.names, "left_semi")), decl.names, "left_anti")
             return made.distinct().join(full, decl.names, "left_anti")
         if decl.merge == "first":
             for key in decl.keys:
@@ -79,23 +91,22 @@ class _Relation:
         old = full.select(*[col(k) for k in key], row_struct(rest).alias("_old"))
         new = row_struct(rest)
         better = new < F.col("_old") if decl.merge == "min" else new > F.col("_old")
-        return best.join(old, key, "left").where(F.col("_old").isNull() | better).select(*[col(n) for n in decl.names])
+        first = F.col("_old").isNull()
+        return best.join(old, key, "left").where(first | better).select(*[col(n) for n in decl.names], first.alias("_first"))
 
-    def grow(self, delta: DataFrame) -> None:
-        self.delta = delta
-        self.new = delta.count()
+    def grow(self, found: DataFrame) -> None:
+        """found: a stored result of unknown()."""
+        self.delta = found.select(*[col(n) for n in self.decl.names]) if self.improves else found
+        self.new = found.count()
         if not self.new:
             return
-        if self.decl.keys and self.decl.merge != "first":
-            key = list(self.decl.keys[0])
-            kept = self.full.join(delta.select(*[col(k) for k in key]), key, "left_anti").select(*[col(n) for n in self.decl.names])
-            self.parts = [cut(kept.union(delta))]
-            self.rows = self.parts[0].count()
-            return
-        self.parts.append(delta)
-        self.rows += self.new
+        self.tables.append(found)
+        self.parts.append(self.delta)
+        self.rows += found.where("_first").count() if self.improves else self.new
         if len(self.parts) > COMPACT_EVERY:
-            self.parts = [cut(self.full, shuffle_partitions(delta.sparkSession))]
+            old, self.tables = self.tables, [stored(self.full.coalesce(shuffle_partitions(found.sparkSession)))]
+            self.parts = list(self.tables)
+            drop(*[t for t in old if t is not found])  # the last delta is still read by the next round
 
 
 def _empty(spark: SparkSession, decl: Decl) -> DataFrame:
@@ -103,14 +114,14 @@ def _empty(spark: SparkSession, decl: Decl) -> DataFrame:
 
 
 def _bound(decl: Decl, df: DataFrame) -> DataFrame:
-    """A given DataFrame as the relation declares it; NULL never joins, so rows with one are refused here."""
+    """A given DataFrame as the relation declares it, a set. NULL never joins: rows with one are left out here, as by all readers."""
     out = df.toDF(*decl.names).select(*[col(n).cast(t).alias(n) for n, t in zip(decl.names, decl.types)])
     return out.dropna(how="any").distinct()
 
 
 def _once(df: DataFrame) -> DataFrame:
     """A relation that every round reads is written once, not derived again each time."""
-    return df if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRDD" else cut(df)
+    return df if is_stored(df) else stored(df)
 
 
 def _facts(spark: SparkSession, decl: Decl, rules: list[Rule]) -> list[DataFrame]:
@@ -165,7 +176,7 @@ def _stratum(spark: SparkSession, program: Program, number: int, names: list[str
         for n in names:
             variants = [v for r in recursive[n] for v in _variants(r, program.decls[n], inside, state, known)]
             if variants:
-                deltas[n] = cut(state[n].unknown(reduce(DataFrame.union, variants)))
+                deltas[n] = stored(state[n].unknown(reduce(DataFrame.union, variants)))
         for n in names:
             if n in deltas:
                 state[n].grow(deltas[n])

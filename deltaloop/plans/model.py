@@ -129,7 +129,7 @@ class Program:
     decls: dict[str, Decl] = field(default_factory=dict)
     rules: list[Rule] = field(default_factory=list)
     inputs: dict[str, dict[str, str]] = field(default_factory=dict)
-    outputs: list[str] = field(default_factory=list)
+    outputs: dict[str, dict[str, str]] = field(default_factory=dict)
     printed: list[str] = field(default_factory=list)
     frames: dict[str, "DataFrame"] = field(default_factory=dict)
 
@@ -171,3 +171,20 @@ class Program:
         from deltaloop.plans.fixpoint import run_program
 
         return run_program(spark, self, max_iterations)
+
+    def write(self, result: "Result", directory: str) -> dict[str, int]:
+        """Does what the directives ask: a delimited file for every output; every printed size is shown and returned."""
+        from deltaloop.sources.sinks import write_delimited
+
+        for name, options in self.outputs.items():
+            write_delimited(result[name], f"{directory.rstrip('/')}/{options.get('filename', name + '.csv')}", options.get("delimiter", options.get("deliminator", "\t")))
+        sizes = {name: result[name].count() for name in self.printed}
+        for name, n in sizes.items():
+            print(f"{name}\t{n}")
+        return sizes
+
+    def explain(self) -> str:
+        """Relations, strata and, for every rule, the join order of each of its semi-naive variants."""
+        from deltaloop.plans.explain import explain
+
+        return explain(self)

@@ -6,15 +6,18 @@ linearly with the data.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from deltaloop.functions.session import checkpoint_dir
 from deltaloop.operators import closure as C
 from deltaloop.operators import relational as R
 from deltaloop.plans.parser import parse_program
-from deltaloop.sources.readers import read_table
+from deltaloop.sources.readers import load_inputs, read_csv, read_edge_list, read_table
+from deltaloop.sources.sinks import write_delimited
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -190,15 +193,90 @@ def max_iteration_bound(spark: SparkSession, sf: str) -> DataFrame:
 
 def spanning_tree(spark: SparkSession, sf: str) -> DataFrame:
     start = _part(spark, sf).where("p_partkey % 64 = 1").selectExpr("p_partkey AS v")
-    return C.spanning_tree(edge_dag(spark, sf), start)["tree"]
+    return C.spanning_forest(edge_dag(spark, sf), start, root=-1)["tree"]
 
 
-def matching_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return C.matching(scan_edges(spark, sf))["violation"]
+def matching_degrees(spark: SparkSession, sf: str) -> DataFrame:
+    """A maximal matching of parts and suppliers, by what it covers."""
+    edge = scan_edges(spark, sf)
+    return C.matching_report(edge, C.matching(edge))
 
 
-def total_order_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return C.total_order(spark.read.parquet(f"{sf}/region.parquet").select("r_name"))["violation"]
+def ranked_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """An order found by two functional dependencies, by its counts."""
+    ranks = C.ranking(spark.read.parquet(f"{sf}/region.parquet").select("r_name"))
+    return ranks.agg(F.count("*").alias("n"), F.count_distinct("item").alias("items"), F.count_distinct("rank").alias("ranks"), F.min("rank").alias("first"), F.max("rank").alias("last"))
+
+
+def dependent_max(spark: SparkSession, sf: str) -> DataFrame:
+    program = parse_program(".decl edge(s:number, d:number)\n.decl high(v:number, m:number)")
+    program.declare("high", ["v", "m"], key=["v"], merge="max")
+    program.rule("high(x, y) :- edge(x, y). high(x, m) :- edge(x, y), high(y, m).")
+    return program.facts("edge", edge_cyc(spark, sf)).run(spark)["high"]
+
+
+def nullary_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether there is a loop, in a graph with loops."""
+    program = parse_program(".decl edge(s:number, d:number)\n.decl loop()\nloop() :- edge(x, x).")
+    return program.facts("edge", assign(spark, sf)).run(spark)["loop"].toDF("holds")
+
+
+def facts_in_text(spark: SparkSession, sf: str) -> DataFrame:
+    program = parse_program(".decl next(a:number, b:number)\n.decl later(a:number, b:number)\nnext(1, 2). next(2, 3). next(3, 4).\nlater(a, b) :- next(a, b).\nlater(a, c) :- later(a, b), next(b, c).")
+    return program.run(spark)["later"]
+
+
+def empty_side(spark: SparkSession, sf: str) -> DataFrame:
+    """A join with an empty relation gives nothing, and a negated empty one everything."""
+    program = parse_program(".decl edge(s:number, d:number)\n.decl none(v:number)\n.decl both(s:number)\n.decl free(s:number)\nboth(x) :- edge(x, y), none(y).\nfree(x) :- edge(x, _), !none(x).")
+    got = program.facts("edge", edge_dag(spark, sf)).run(spark)
+    return got["both"].agg(F.count("*").alias("joined")).crossJoin(got["free"].agg(F.count("*").alias("free")))
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/deltaloop-files-{uuid.uuid4().hex}"
+
+
+def text_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges written as text with commas and read again, some lines being none."""
+    path = f"{_folder(spark)}/edges.txt"
+    edge = edge_dag(spark, sf)
+    lines = edge.select(F.concat_ws(",", "s", "d").alias("value"))
+    odd = spark.createDataFrame([("17",), ("a,b",), ("",)], "value string")
+    lines.union(lines).union(odd).write.text(path)
+    return read_edge_list(spark, path)
+
+
+def facts_directory(spark: SparkSession, sf: str) -> DataFrame:
+    """An input directive reads a fact directory, an output directive writes a file, which is read again."""
+    folder = _folder(spark)
+    write_delimited(edge_dag(spark, sf), f"{folder}/edge.facts")
+    program = parse_program(".decl edge(s:number, d:number)\n.input edge\n.decl two(s:number, d:number)\n.output two(filename=\"two.csv\", delimiter=\",\")\n.printsize two\ntwo(x, z) :- edge(x, y), edge(y, z).")
+    load_inputs(spark, program, folder)
+    program.write(program.run(spark), folder)
+    return read_csv(spark, f"{folder}/two.csv", ["s", "d"], ",")
+
+
+def csv_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The reader's row limit, and how many rows a whole file has."""
+    path = f"{_folder(spark)}/edges.csv"
+    write_delimited(edge_dag(spark, sf), path)
+    some = read_csv(spark, path, ["s", "d"], rows=10).agg(F.count("*").alias("limited"))
+    return some.crossJoin(read_csv(spark, path, ["s", "d"]).agg(F.count("*").alias("every")))
+
+
+def long_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Closure of one chain of events a user: paths of up to about a hundred hops."""
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "ts")
+    edge = events.select(F.col("event_id").alias("s"), F.lead("event_id").over(by).alias("d")).where("d IS NOT NULL")
+    return C.closure(edge, doubling=True)["path"]
+
+
+def hub_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Shortest paths where one vertex has an edge to every block: a hub in every round."""
+    hub = _part(spark, sf).where("p_partkey % 64 = 1").selectExpr("CAST(-1 AS BIGINT) AS s", "p_partkey AS d")
+    return C.path_length(R.union(edge_tree(spark, sf), hub))["path"]
 
 
 # ---------------------------------------------------------------- SQL
@@ -253,8 +331,10 @@ QUERIES: dict[str, Query] = {
     "path_length_cyclic": path_length_cyclic, "dependent_min": dependent_min,
     "cspa_value_flow": _alias("value_flow"), "cspa_memory_alias": _alias("memory_alias"),
     "cspa_value_alias": _alias("value_alias"), "max_iteration_bound": max_iteration_bound,
-    "spanning_tree": spanning_tree, "matching_violations": matching_violations,
-    "total_order_violations": total_order_violations,
+    "spanning_tree": spanning_tree, "matching_degrees": matching_degrees, "ranked_regions": ranked_regions,
+    "dependent_max": dependent_max, "nullary_heads": nullary_heads, "facts_in_text": facts_in_text,
+    "empty_side": empty_side, "text_edges": text_edges, "facts_directory": facts_directory, "csv_rows": csv_rows,
+    "long_chains": long_chains, "hub_lengths": hub_lengths,
 }
 
 ORACLE: dict[str, str] = {
@@ -286,9 +366,18 @@ ORACLE: dict[str, str] = {
     "cspa_memory_alias": _alias_sql("ma"),
     "cspa_value_alias": _alias_sql("va"),
     "max_iteration_bound": f"WITH RECURSIVE e(s, d) AS ({WEEK_SQL}), p(s, d, n) AS (SELECT s, d, 0 FROM e UNION SELECT e.s, p.d, n + 1 FROM e JOIN p ON e.d = p.s WHERE n < 3) SELECT DISTINCT s, d FROM p",
-    "spanning_tree": f"""WITH RECURSIVE e(s, d) AS ({DAG_SQL}), t(v, u) USING KEY (u) AS (
- SELECT CAST(99999999 AS BIGINT), p_partkey FROM part WHERE p_partkey % 64 = 1
- UNION SELECT min(e.s), e.d FROM t JOIN e ON e.s = t.u WHERE NOT EXISTS (SELECT 1 FROM recurring.t q WHERE q.u = e.d) GROUP BY e.d) SELECT v, u FROM t""",
-    "matching_violations": "SELECT true AS holds WHERE false",
-    "total_order_violations": "SELECT true AS holds WHERE false",
+    "spanning_tree": f"""WITH RECURSIVE e(s, d) AS ({DAG_SQL}), t(child, parent) USING KEY (child) AS (
+ SELECT p_partkey, CAST(-1 AS BIGINT) FROM part WHERE p_partkey % 64 = 1
+ UNION SELECT e.d, min(e.s) FROM t JOIN e ON e.s = t.child WHERE NOT EXISTS (SELECT 1 FROM recurring.t q WHERE q.child = e.d) GROUP BY e.d) SELECT child, parent FROM t""",
+    "matching_degrees": "SELECT count(*) AS edges, count(*) AS covered, CAST(0 AS BIGINT) AS matched_twice, CAST(0 AS BIGINT) AS no_edge FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)",
+    "ranked_regions": "SELECT count(*) AS n, count(*) AS items, count(*) AS ranks, CAST(1 AS BIGINT) AS first, count(*) AS last FROM (SELECT DISTINCT r_name FROM region)",
+    "dependent_max": f"WITH RECURSIVE e(s, d) AS ({CYC_SQL}), p(s, d) AS (SELECT s, d FROM e UNION SELECT e.s, p.d FROM e JOIN p ON e.d = p.s) SELECT s AS v, max(d) AS m FROM p GROUP BY 1",
+    "nullary_heads": f"SELECT true AS holds WHERE EXISTS (SELECT 1 FROM ({ASSIGN_SQL}) WHERE s = d)",
+    "facts_in_text": "SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (VALUES (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)) v(a, b)",
+    "empty_side": f"SELECT CAST(0 AS BIGINT) AS joined, count(DISTINCT s) AS free FROM ({DAG_SQL})",
+    "text_edges": DAG_SQL,
+    "facts_directory": f"WITH e AS ({DAG_SQL}) SELECT DISTINCT a.s, b.d FROM e a JOIN e b ON a.d = b.s",
+    "csv_rows": f"SELECT CAST(10 AS BIGINT) AS limited, count(*) AS every FROM ({DAG_SQL})",
+    "long_chains": "WITH o AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT a.event_id AS s, b.event_id AS d FROM o a JOIN o b ON a.user_id = b.user_id AND a.k < b.k",
+    "hub_lengths": _length_sql(f"{TREE_SQL} UNION SELECT CAST(-1 AS BIGINT), p_partkey FROM part WHERE p_partkey % 64 = 1"),
 }

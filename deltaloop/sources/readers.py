@@ -10,23 +10,29 @@ from pyspark.sql import functions as F
 from deltaloop.functions.columns import col
 
 
-def read_edge_list(spark: SparkSession, path: str, columns: Sequence[str] = ("s", "d"), separator: str = r"[,\s]+") -> DataFrame:
-    """Integers separated by commas or white space; a last line without an end is kept, duplicates are not."""
+def read_edge_list(spark: SparkSession, path: str, columns: Sequence[str] = ("s", "d"), separator: str = r"[,\s]+", strict: bool = False) -> DataFrame:
+    """Integers separated by commas or white space; a last line without an end is kept, duplicates are not.
+
+    A line with too few fields or with other than integers is left out, or refused if strict.
+    """
     parts = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), separator)
     lines = spark.read.text(path).where(F.trim("value") != "").select(parts.alias("p"))
-    return lines.select(*[F.col("p")[i].cast("bigint").alias(c) for i, c in enumerate(columns)]).dropna(how="any").distinct()
+    made = lines.select(*[F.get("p", F.lit(i)).try_cast("bigint").alias(c) for i, c in enumerate(columns)])
+    if strict and (odd := made.count() - made.dropna(how="any").count()):
+        raise ValueError(f"{path}: {odd} lines are no {len(columns)} integers")
+    return made.dropna(how="any").distinct()
 
 
 def read_facts(spark: SparkSession, directory: str, name: str, columns: Sequence[str], types: Sequence[str] | None = None, separator: str = "\t") -> DataFrame:
     """<directory>/<name>.facts, one delimited row per line."""
     kinds = types or ["bigint"] * len(columns)
     schema = ", ".join(f"`{c}` {t}" for c, t in zip(columns, kinds))
-    return spark.read.csv(f"{directory.rstrip('/')}/{name}.facts", sep=separator, schema=schema).distinct()
+    return spark.read.csv(f"{directory.rstrip('/')}/{name}.facts", sep=separator, schema=schema).dropna(how="any").distinct()
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str], separator: str = "\t", rows: int | None = None) -> DataFrame:
     out = spark.read.csv(path, sep=separator, schema=", ".join(f"`{c}` bigint" for c in columns))
-    return (out.limit(rows) if rows is not None else out).distinct()
+    return (out.limit(rows) if rows is not None else out).dropna(how="any").distinct()
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:

@@ -11,10 +11,6 @@ def show_sorted(df: DataFrame, n: int = 3000) -> None:
     df.orderBy(*[col(c) for c in df.columns]).show(n, truncate=False)
 
 
-def size(df: DataFrame) -> int:
-    return df.count()
-
-
 def write_delimited(df: DataFrame, path: str, separator: str = "\t") -> None:
     df.write.mode("overwrite").csv(path, sep=separator)
 

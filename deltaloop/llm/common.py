@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import tempfile
 import uuid
@@ -13,18 +12,17 @@ from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deltaloop.functions.session import checkpoint_dir
+from deltaloop.functions.session import drop as drop_written
+from deltaloop.functions.session import stored as written
 
 #: Bytes of rows that go to a Python worker at once, where the session leaves Spark's own setting.
 BATCH = 4 << 20
 _BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()
-_WRITTEN: dict[str, weakref.ref] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,41 +45,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared checkpoint folder; it goes at the end of the session, or by drop_written()."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/deltaloop-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_clean)
-    out = spark.read.schema(df.schema).parquet(path)
-    _WRITTEN[path] = weakref.ref(out)
-    return out
-
-
-def drop_written(*frames: DataFrame) -> None:
-    """Deletes tables made by written() that nothing reads any more."""
-    for df in frames:
-        for path in [p for p, ref in _WRITTEN.items() if ref() is df]:
-            if not _delete(path):
-                df.limit(0).write.mode("overwrite").parquet(path)  # where this process can't reach the folder
-            del _WRITTEN[path]
-
-
-def _delete(path: str) -> bool:
-    try:
-        system, place = fs.FileSystem.from_uri(path)
-        system.delete_dir(place)
-    except (OSError, ValueError, pa.ArrowException):
-        return False
-    return True
-
-
-def _clean() -> None:
-    for path in _WRITTEN:
-        _delete(path)
-
-
 def release(spark: SparkSession) -> None:
     """Spark deletes the shuffle files of finished plans only when the driver's garbage is collected: this asks for it, where it can be."""
     gc.collect()

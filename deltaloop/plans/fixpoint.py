@@ -13,8 +13,11 @@ is only scanned, so late rounds do not shuffle it.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,7 @@ from deltaloop.plans.compile import compile_rule, head_frame
 from deltaloop.plans.model import Atom, Decl, Program, Rule
 from deltaloop.plans.stratify import strata
 
+T = TypeVar("T")
 #: Deltas of a relation that are held apart before they are written together.
 COMPACT_EVERY = 8
 #: From so many rows on, a full relation is scanned for few new ones (at most so many) instead of shuffled.
@@ -172,20 +176,27 @@ def _stratum(spark: SparkSession, program: Program, number: int, names: list[str
     while any(s.new for s in state.values()) and (most is None or iteration < most):
         iteration += 1
         began = time.time()
-        deltas: dict[str, DataFrame] = {}
-        for n in names:
-            variants = [v for r in recursive[n] for v in _variants(r, program.decls[n], inside, state, known)]
-            if variants:
-                deltas[n] = stored(state[n].unknown(reduce(DataFrame.union, variants)))
-        for n in names:
-            if n in deltas:
-                state[n].grow(deltas[n])
-            else:
-                state[n].new = 0
+        made = {n: [v for r in recursive[n] for v in _variants(r, program.decls[n], inside, state, known)] for n in names}
+
+        def find(n: str) -> DataFrame:
+            return stored(state[n].unknown(reduce(DataFrame.union, made[n])))
+
+        found = dict(zip(grown := [n for n in names if made[n]], _together(find, grown)))
+        _together(lambda n: state[n].grow(found[n]), grown)
+        for n in set(names) - set(grown):
+            state[n].new = 0
         stats += [IterationStats(number, iteration, n, s.new, s.rows, time.time() - began) for n, s in state.items()]
     return {n: s.full for n, s in state.items()}
 
 
+def _together(function: Callable[[str], T], names: list[str]) -> list[T]:
+    """Jobs of one round that don't read each other's results run side by side."""
+    if len(names) < 2:
+        return [function(n) for n in names]
+    with ThreadPoolExecutor(len(names)) as pool:
+        return list(pool.map(function, names))
+
+
 def _variants(rule: Rule, decl: Decl, inside: set[str], state: dict[str, _Relation], known: dict[str, DataFrame]) -> list[DataFrame]:
     out = []
     for at, atom in enumerate(rule.positive):

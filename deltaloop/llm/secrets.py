@@ -1,14 +1,16 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on everything else that looks encoded.
 
 Method: every run of 20 or more encoding characters is split at '=', and what is left, whole and in
-its parts between + / - _, is a candidate if it has letters, digits and 20 characters. Its encoding is
+its parts between + / - _, is a candidate if it has 20 characters, unless it is letters of one case (a
+word, maybe with a capital). Its encoding is
 the smallest alphabet that holds it; of candidates that pass and overlap, the longest counts. Three tests ask whether it could be uniform random
 in this alphabet: chi-squared over the symbols, runs above and below the middle, and lag-1 serial
 correlation; Fisher's method combines them. Candidates are pooled by encoding and length class over
-the whole corpus, each different string once. In each pool the number of truly random strings is estimated from the upper half
-of the p-values, and the smallest cut is taken at which the estimated share of others among the
-accepted stays under the false-discovery level; pools of short strings, where the tests have little
-power and chance matches are common, so need higher values than pools of long ones.
+the whole corpus, each different string once; classes of few strings join the next longer one, and encodings of
+few strings each other. In each pool the number of truly random strings is estimated from the upper half
+of the p-values, less a share of its error, and the smallest cut is taken at which the estimated share of others among the
+accepted, with one more added to them, stays under the false-discovery level. So a pool needs 20 accepted strings at a level
+of 0.05: where a corpus has fewer candidates in all, nothing is added to the fixed patterns.
 
 Defined cases: null and empty texts have no spans; repeated rows each give a row; an empty table
 gives an empty result; extra columns are ignored.
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloop.llm.common import fresh, map_batches, only, utf8, written
+from deltaloop.llm.common import map_batches, only, utf8, written
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -37,11 +39,13 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: A value between '=', and its parts: all of it, without each alphabet's marks, without any.
 _VALUE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 _MARKS = re.compile(r"[+/_-]")
+_ONE_CASE = re.compile(r"[A-Z]?[a-z+/_-]+|[A-Z+/_-]+")
 _PARTS = (_VALUE, re.compile(r"[A-Za-z0-9+/]{20,}"), re.compile(r"[A-Za-z0-9_-]{20,}"), re.compile(r"[A-Za-z0-9+]{20,}"), re.compile(r"[A-Za-z0-9]{20,}"))
 KINDS = ("assign", "access", "hex", "random")
 
 #: Encodings, the smallest alphabet first.
 ALPHABETS = {
+    "digits": "0123456789",
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -53,8 +57,8 @@ ALPHABETS = {
 }
 _INDEX = {name: {c: k for k, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
 _SETS = {name: frozenset(letters) for name, letters in ALPHABETS.items()}
-#: p-values are pooled in so many classes.
-BINS = 50
+#: p-values are pooled in so many classes; fewest strings of a pool of its own; errors of the estimate of random strings that are taken off.
+BINS, LEAST, CAUTION = 50, 200, 0.3
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -82,7 +86,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             for parts in _PARTS if _MARKS.search(value[0]) else (_VALUE,):
                 for part in parts.finditer(value[0]):
                     body = part[0]
-                    if any(c.isdigit() for c in body) and any(c.isalpha() for c in body) and (name := encoding(body)):
+                    if not _ONE_CASE.fullmatch(body) and (name := encoding(body)):
                         start = m.start() + value.start() + part.start()
                         out.add((start, start + len(body), name))
     return sorted(out)
@@ -124,22 +128,67 @@ def length_class(n: int) -> int:
     return int(2 * math.log2(n))
 
 
+def cut(counts: np.ndarray, level: float) -> int | None:
+    """The first accepted class of p-values of a pool."""
+    upper = counts[BINS // 2 :].sum()
+    random = max(0.0, upper - CAUTION * math.sqrt(upper)) / (BINS - BINS // 2)  # per class: p-values of random strings are uniform
+    tail = counts[::-1].cumsum()[::-1]
+    others = np.maximum(0, tail - random * (BINS - np.arange(BINS))) + 1
+    fine = np.flatnonzero((tail > 0) & (others <= level * tail))
+    return int(fine[0]) if len(fine) else None
+
+
 def cuts(pools: Mapping[tuple[str, int], np.ndarray], level: float) -> dict[tuple[str, int], int]:
-    """The first accepted class of p-values of every pool; pools without one are absent."""
+    """The first accepted class of p-values by encoding and length class; pools without one are absent."""
+    groups: list[list[tuple[str, int]]] = []
+    scarce: list[tuple[str, int]] = []
+    for name in sorted({n for n, _ in pools}):
+        own: list[list[tuple[str, int]]] = []
+        open_: list[tuple[str, int]] = []
+        for key in sorted(k for k in pools if k[0] == name):
+            open_.append(key)
+            if sum(pools[k].sum() for k in open_) >= LEAST:
+                own.append(open_)
+                open_ = []
+        if own:
+            own[-1] += open_  # the longest strings are too few for themselves
+            groups += own
+        else:
+            scarce += open_
     out = {}
-    for key, counts in pools.items():
-        half = BINS // 2
-        random = counts[half:].sum() / (BINS - half)  # per class: p-values of random strings are uniform
-        tail = counts[::-1].cumsum()[::-1]
-        classes = BINS - np.arange(BINS)
-        share = 1 - np.minimum(1, random * classes / np.maximum(tail, 1))
-        fine = np.flatnonzero((tail > 0) & (share <= level))
-        # strings of a pool are rejected at the bottom all the same: a random one lies there with a chance of one class
-        if len(fine):
-            out[key] = int(fine[0])
+    for group in [*groups, scarce]:
+        if group and (first := cut(sum(pools[k] for k in group), level)) is not None:
+            out |= dict.fromkeys(group, first)
     return out
 
 
+def _candidate_rows(text: str) -> list[dict]:
+    out = []
+    for start, end, name in candidates(text):
+        body = text[start:end]
+        p = randomness(body, name)
+        out.append({"encoding": name, "size": length_class(len(body)), "bin": min(BINS - 1, int(p * BINS)), "string": xxhash.xxh64_intdigest(body) >> 1, "start": start, "end": end})
+    return out
+
+
+def _decided(base: list[tuple[int, int, int]], found: list[dict], chosen: dict[tuple[str, int], int]) -> list[tuple[int, int, int]]:
+    """Base spans and those of accepted candidates, sorted."""
+    more: list[tuple[int, int, int]] = []
+    for f in sorted(found, key=lambda f: (f["start"] - f["end"], f["start"])):  # the longest that passes stands for its parts
+        if f["bin"] >= chosen.get((f["encoding"], f["size"]), BINS) and not any(f["start"] < e and s < f["end"] for s, _, e in base + more):
+            more.append((f["start"], 3, f["end"]))
+    return sorted(base + more)
+
+
+def _pooled(strings: DataFrame, level: float) -> dict[tuple[str, int], int]:
+    """cuts() of the pools of strings: encoding, size, bin, string. Copies of a string say no more about its pool."""
+    pooled = strings.distinct().groupBy("encoding", "size", "bin").agg(F.count("*").alias("n")).collect()  # bounded by alphabets, length and p classes
+    pools: dict[tuple[str, int], np.ndarray] = {}
+    for r in pooled:
+        pools.setdefault((r["encoding"], r["size"]), np.zeros(BINS))[r["bin"]] += r["n"]
+    return cuts(pools, level)
+
+
 def scan(docs: DataFrame, level: float = 0.05, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, starts, ends (of all spans)."""
 
@@ -148,12 +197,7 @@ def scan(docs: DataFrame, level: float = 0.05, id_column: str = "doc_id", text_c
         for text in utf8(batch.column(1)):
             spans = base_spans(text)
             base.append([{"kind": k, "start": s, "end": e} for s, k, e in spans])
-            own = []
-            for start, end, name in candidates(text):
-                body = text[start:end]
-                p = randomness(body, name)
-                own.append({"encoding": name, "size": length_class(len(body)), "bin": min(BINS - 1, int(p * BINS)), "string": xxhash.xxh64_intdigest(body) >> 1, "start": start, "end": end})
-            found.append(own)
+            found.append(_candidate_rows(text))
         span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
         candidate = pa.list_(pa.struct([("encoding", pa.string()), ("size", pa.int32()), ("bin", pa.int32()), ("string", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(found, candidate)], names=["doc_id", "base", "found"])
@@ -161,22 +205,13 @@ def scan(docs: DataFrame, level: float = 0.05, id_column: str = "doc_id", text_c
     kind = dict(docs.dtypes)[id_column]
     schema = f"doc_id {kind}, base array<struct<kind:int,start:bigint,end:bigint>>, found array<struct<encoding:string,size:int,bin:int,string:bigint,start:bigint,end:bigint>>"
     made = written(map_batches(only(docs, id_column, text_column), find, schema), "secrets")
-    strings = made.select(F.explode("found").alias("f")).select("f.encoding", "f.size", "f.bin", "f.string").distinct()  # copies of a string say no more about its pool
-    pooled = strings.groupBy("encoding", "size", "bin").agg(F.count("*").alias("n")).collect()  # bounded by alphabets, length and p classes
-    pools: dict[tuple[str, int], np.ndarray] = {}
-    for r in pooled:
-        pools.setdefault((r["encoding"], r["size"]), np.zeros(BINS))[r["bin"]] += r["n"]
-    chosen = cuts(pools, level)
+    chosen = _pooled(made.select(F.explode("found").alias("f")).select("f.encoding", "f.size", "f.bin", "f.string"), level)
 
     def choose(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for base, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             spans = [(b["start"], b["kind"], b["end"]) for b in base]
-            more: list[tuple[int, int, int]] = []
-            for f in sorted(found, key=lambda f: (f["start"] - f["end"], f["start"])):  # the longest that passes stands for its parts
-                if f["bin"] >= chosen.get((f["encoding"], f["size"]), BINS) and not any(f["start"] < e and s < f["end"] for s, _, e in spans + more):
-                    more.append((f["start"], 3, f["end"]))
-            every = sorted(spans + more)
+            every = _decided(spans, found, chosen)
             text = lambda xs: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in xs)
             n = [sum(k == kind for _, k, _ in every) for kind in range(4)]
             rows.append((*n[:3], hashlib.sha256(text(spans).encode()).hexdigest(), text(every), n[3], [s for s, _, _ in every], [e for _, _, e in every]))
@@ -205,30 +240,32 @@ __all__ = ["base_spans", "cuts", "encoding", "randomness", "redact", "scan"]
 
 
 def redacted(docs: DataFrame, level: float = 0.05) -> DataFrame:
-    """All documents and columns, with secrets replaced in text and n_chars counted anew.
+    """All documents and columns, with secrets replaced in text and n_chars counted anew; a null text stays null.
 
-    Spans come with a text's own hash, so ids may repeat or be null.
+    One pass gives the cuts, another one finds the spans again where the text is, so no text moves.
     """
-    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    name = fresh(docs, "_key")
-    keyed = docs.withColumn(name, key)
-    found = scan(keyed.select(F.col(name).alias("doc_id"), "text"), level).where("size(starts) > 0").groupBy(F.col("doc_id").alias(name)).agg(F.first("starts").alias("_starts"), F.first("ends").alias("_ends"))
-    hit = found.withColumnRenamed("_starts", fresh(keyed, "_starts")).withColumnRenamed("_ends", fresh(keyed, "_ends"))
-    s, e = hit.columns[1:]
-    both = keyed.join(hit, name, "left")
-    # the parts between the spans, by code points; spans don't overlap after this union
-    pieces = F.filter(F.transform(s, lambda x, i: F.struct(x.alias("a"), F.array_max(F.slice(F.col(e), 1, i + 1)).alias("b"), F.when(i > 0, F.array_max(F.slice(F.col(e), 1, F.greatest(i, F.lit(1))))).otherwise(F.lit(0)).alias("before"))), lambda x: x["b"] > x["before"])
-    mark = F.lit("[secret]")
-    body = F.aggregate(
-        pieces,
-        F.struct(F.lit("").alias("t"), F.lit(0).cast("bigint").alias("at")),
-        lambda acc, x: F.struct(
-            F.when(x["a"] >= acc["at"], F.concat(acc["t"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (x["a"] - acc["at"]).cast("int")), mark)).otherwise(acc["t"]).alias("t"), F.greatest(acc["at"], x["b"]).cast("bigint").alias("at")
-        ),
-        lambda acc: F.concat(acc["t"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))),
-    )
-    text = F.when(F.col(s).isNotNull(), body).otherwise(F.col("text"))
-    out = both.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(s).isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+
+    def pool(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = {(f["encoding"], f["size"], f["bin"], f["string"]) for text in utf8(batch.column(0)) for f in _candidate_rows(text)}
+        columns = list(zip(*rows)) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["encoding", "size", "bin", "string"])
+
+    chosen = _pooled(map_batches(only(docs, "text"), pool, "encoding string, size int, bin int, string bigint"), level)
+    at = docs.columns.index("text")
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def replace(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(at).to_pylist()
+        sizes = batch.column(size).to_pylist() if size is not None else []
+        for k, text in enumerate(texts):
+            if spans := _decided(base_spans(text), _candidate_rows(text), chosen) if text else []:
+                texts[k] = redact(text, [s for s, _, _ in spans], [e for _, _, e in spans])
+                if size is not None:
+                    sizes[k] = len(texts[k])
+        columns = list(batch.columns)
+        columns[at] = pa.array(texts, batch.schema.field(at).type)
+        if size is not None:
+            columns[size] = pa.array(sizes, batch.schema.field(size).type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return map_batches(docs, replace, docs.schema)

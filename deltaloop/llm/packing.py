@@ -3,9 +3,11 @@
 Method: cutting-stock column generation. Every document is cut into whole sequences and a
 remainder. The histogram of remainders (at most length - 1 classes, however large the corpus) gives
 a linear program over patterns; a knapsack dynamic program over its duals prices new patterns. The
-solution is rounded down, and only patterns that fill a sequence without padding are used; the k-th
+solution is rounded down, and patterns that fill a sequence without padding are used; what they leave, at most
+a few documents a pattern, is rounded by a knapsack over the lengths that are left, longest first, and only
+lengths that no exact pattern holds any more go on. The k-th
 ranked document of a length class goes to the k-th place that the patterns offer to its class. What
-is left is cut into pieces of powers of two, which, in descending order, fill sequences exactly.
+is left then is cut into pieces of powers of two, which, in descending order, fill sequences exactly.
 
 No token moves between machines: the checksums of all the pieces that a document can be cut into
 are made while it is tokenised, and the ranks of documents come from counts per partition.
@@ -17,6 +19,7 @@ ids are packed one by one. An empty table gives an empty result. Extra columns a
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -133,6 +136,63 @@ def solve(counts: dict[int, int], capacity: int, gap: float = 0.01, rounds: int
     return [(p, float(x)) for p, x in zip(patterns, use) if x >= 1]
 
 
+def exact(left: dict[int, int], first: int, capacity: int) -> dict[int, int] | None:
+    """A pattern that holds first and fills the capacity from the lengths that are left, the longest preferred.
+
+    Sets of reachable sums are bits of a number, one for each document tried; classes join in blocks until the sum is reached.
+    """
+    need = capacity - first
+    tried: list[int] = []
+    reach = [1]
+    full = (1 << need + 1) - 1
+    for v in sorted((v for v, n in left.items() if n > (v == first) and v <= need), reverse=True):
+        for _ in range(min(left[v] - (v == first), need // v)):
+            tried.append(v)
+            reach.append((reach[-1] | reach[-1] << v) & full)
+        if reach[-1] >> need & 1:
+            break
+    if not reach[-1] >> need & 1:
+        return None
+    pattern = {first: 1}
+    for v, before in zip(reversed(tried), reversed(reach[:-1])):
+        if not before >> need & 1:
+            pattern[v] = pattern.get(v, 0) + 1
+            need -= v
+    return pattern
+
+
+def few(left: dict[int, int], first: int, capacity: int, most: int) -> dict[int, int] | None:
+    """The same with first and at most most others, one or two."""
+    need = capacity - first
+    have = lambda v, *others: left.get(v, 0) > sum(v == x for x in others)
+    if have(need, first):
+        return dict(Counter([first, need]))
+    if most > 1:
+        for v in sorted((v for v in left if need <= 2 * v and v < need), reverse=True):
+            if have(v, first) and have(need - v, first, v):
+                return dict(Counter([first, v, need - v]))
+    return None
+
+
+def rounded(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Exact patterns and how often each is used, until none is left: first pairs, then threes, then any, as short documents are scarce.
+
+    Each step uses up a length, so steps don't grow with the documents.
+    """
+    left = {v: n for v, n in left.items() if n > 0}
+    out = []
+    for find in (lambda v: few(left, v, capacity, 1), lambda v: few(left, v, capacity, 2), lambda v: exact(left, v, capacity)):
+        for first in sorted(left, reverse=True):
+            while first in left and (pattern := find(first)):
+                copies = min(left[v] // n for v, n in pattern.items())
+                out.append((pattern, copies))
+                for v, n in pattern.items():
+                    left[v] -= n * copies
+                    if not left[v]:
+                        del left[v]
+    return out
+
+
 @dataclass
 class Plan:
     """Where the k-th document of each length class goes. Sizes depend on the capacity alone."""
@@ -167,10 +227,15 @@ def plan(counts: dict[int, int], capacity: int) -> Plan:
     rows: dict[int, list[tuple[int, int, int, int]]] = {v: [] for v in left}
     taken = dict.fromkeys(left, 0)
     sequence = 0
+    floors = []
+    over = dict(left)
     for pattern, use in solve(left, capacity):
-        if sum(v * n for v, n in pattern.items()) != capacity:
-            continue
-        copies = min([int(use + 1e-6), *((left[v] - taken[v]) // n for v, n in pattern.items())])
+        if sum(v * n for v, n in pattern.items()) == capacity:
+            copies = min([int(use + 1e-6), *(over[v] // n for v, n in pattern.items())])
+            floors.append((pattern, copies))
+            for v, n in pattern.items():
+                over[v] -= n * copies
+    for pattern, copies in [*floors, *rounded(over, capacity)]:
         if copies <= 0:
             continue
         offset = 0

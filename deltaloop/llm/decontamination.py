@@ -6,12 +6,12 @@ of which must occur unchanged in any stretch within k edits. One automaton finds
 whole text; hits of an item on nearby diagonals are verified together by Myers' bit-parallel
 distance over the stretch they allow.
 
-Items go to the executors in blocks of at most BLOCK characters, each a pass of its own over the
-documents, so the automaton is bounded however long the benchmark is.
+Items are the stated query set: they go to the executors in blocks of about BLOCK characters, each a pass of its own over the
+documents, so the automaton is bounded however long the benchmark is; the driver holds the benchmark's text once.
 
 Defined cases: null, empty and unlettered texts match nothing, and so do such items; items of fewer
 than 2 * (k + 1) characters match as a whole word sequence only; repeated documents and items each
-give rows; empty tables give empty results; extra columns are ignored.
+give rows (equal items one); null ids are kept in both; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,16 +127,21 @@ class Matcher:
         return k > 0 or ((end == len(body) or body[end] == " ") and (end - m <= 0 or body[end - m - 1] == " "))
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, distance, start, end: one row for each document and item that it holds."""
+def _blocks(items: DataFrame, block: int) -> list[list[tuple[object, str]]]:
+    """Items in groups of about block characters: the query set, which every text meets."""
     blocks: list[list[tuple[object, str]]] = [[]]
     used = 0
-    for r in only(items, "item_id", "text").where("text IS NOT NULL").toLocalIterator():
+    for r in only(items, "item_id", "text").where("text IS NOT NULL").distinct().toLocalIterator():
         if used > block:
             blocks.append([])
             used = 0
         blocks[-1].append((r["item_id"], r["text"]))
         used += len(r["text"])
+    return blocks
+
+
+def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
+    """doc_id, item_id, distance, start, end: one row for each document and item that it holds."""
     kind = dict(docs.dtypes)["doc_id"]
     item_kind = "string" if dict(items.dtypes)["item_id"] == "string" else "bigint"
     texts = only(docs, "doc_id", "text")
@@ -153,9 +158,21 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int =
 
         return map_batches(texts, find, f"doc_id {kind}, item_id {item_kind}, distance bigint, start bigint, end bigint")
 
-    return reduce(DataFrame.union, [one(g) for g in blocks])
+    return reduce(DataFrame.union, [one(g) for g in _blocks(items, block)])
+
+
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
+    """The documents that hold no item, whatever their ids; all their columns. A text is judged where it is, once a block."""
+    at = docs.columns.index("text")
+
+    def without(rows: DataFrame, group: list[tuple[object, str]]) -> DataFrame:
+        made: list[Matcher] = []
+
+        def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+            if not made:
+                made.append(Matcher(group, rate))
+            return batch.filter(pa.array([not made[0].find(t) for t in utf8(batch.column(at))], pa.bool_()))
 
+        return map_batches(rows, keep, docs.schema)
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents that hold no item; all their columns."""
-    return docs.join(matches(docs, items, rate).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return reduce(without, _blocks(items, block), docs)

@@ -38,11 +38,9 @@ FORMS = {
 _EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+-]){FORMS['email']}"
 _REST = "|".join(p for k, p in FORMS.items() if k != "email")
 PATTERN = rf"{_EMAIL}|(?<![\p{{L}}\p{{N}}_])(?<![0-9][.-])(?:{_REST})(?![\p{{L}}\p{{N}}_])"
-#: Days of the Gregorian cycle that dates are permuted in, as a product of two factors, and its first year.
-_DAYS, _DAY_A, _DAY_B, _FIRST = 146097, 189, 773, "1700-03-01"
 
 
-def _digest(key: str, *parts: Column) -> Column:
+def _digest(key: str | Column, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256)
 
 
@@ -51,14 +49,15 @@ def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def feistel(value: Column, a: int, b: int, key: str) -> Column:
+def feistel(value: Column, a: int | Column, b: int | Column, key: str | Column) -> Column:
     """Permutes 0 .. a * b - 1."""
+    a, b = (x.cast("bigint") if isinstance(x, Column) else F.lit(x) for x in (a, b))
 
     def turn(s: Column, i: Column) -> Column:
-        left = F.pmod(s["l"] + _number(_digest(key, i, F.lit("l"), s["r"])), F.lit(a)).cast("bigint")
-        return F.struct(left.alias("l"), F.pmod(s["r"] + _number(_digest(key, i, F.lit("r"), left)), F.lit(b)).cast("bigint").alias("r"))
+        left = F.pmod(s["l"] + _number(_digest(key, i, F.lit("l"), s["r"])), a).cast("bigint")
+        return F.struct(left.alias("l"), F.pmod(s["r"] + _number(_digest(key, i, F.lit("r"), left)), b).cast("bigint").alias("r"))
 
-    start = F.struct(((value - F.pmod(value, F.lit(b))) / b).cast("bigint").alias("l"), F.pmod(value, F.lit(b)).cast("bigint").alias("r"))
+    start = F.struct(((value - F.pmod(value, b)) / b).cast("bigint").alias("l"), F.pmod(value, b).cast("bigint").alias("r"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s["l"] * b + s["r"])
 
 
@@ -133,19 +132,98 @@ def _ip(v: Column, key: str) -> Column:
     return F.concat_ws(".", *[F.pmod(F.shiftright(new, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
 
 
+def _leaps(y: Column) -> Column:
+    """Leap years up to a year."""
+    return F.floor(y / 4) - F.floor(y / 100) + F.floor(y / 400)
+
+
+def _leap_year(rank: Column) -> Column:
+    """The leap year of a rank, from 1; a cycle of 400 years has 97."""
+    k = F.pmod(rank - 1, F.lit(97))
+    return F.floor((rank - 1) / 97) * 400 + 4 * (k + 1 + F.when(k < 24, 0).when(k < 48, 1).when(k < 72, 2).otherwise(3))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _struct(**columns: Column) -> Column:
+    return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+
+_LONGEST = (1, 3, 5, 7, 8, 10, 12)  # months of 31 days
+_BEFORE, _INSIDE, _EVERY = 387, 194, 2424  # leap years before 1600, from then to 2399, and to 9999
+
+
 def _date(v: Column, key: str) -> tuple[Column, Column]:
-    """Year first; else day before month where only that, or both readings, are a day of the calendar (month first otherwise)."""
-    make = lambda y, m, d: F.try_to_date(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    p = F.split(v, r"[-/.]")
-    iso, dmy, mdy = v.rlike("^[0-9]{4}-"), make(p[2], p[1], p[0]), make(p[2], p[0], p[1])
-    day = F.when(iso, make(p[0], p[1], p[2])).otherwise(F.coalesce(dmy, mdy))
-    first = F.to_date(F.lit(_FIRST))
-    at = F.datediff(day, first).cast("bigint")
-    new = F.date_add(first, feistel(at, _DAY_A, _DAY_B, key + "/date").cast("int"))
-    mark = F.regexp_extract(v, r"[-/.]", 0)
-    form = lambda *fs: F.concat_ws("|", *[F.date_format(new, f) for f in fs])
-    made = F.when(iso, form("yyyy-MM-dd")).when(dmy.isNotNull(), F.regexp_replace(form("dd", "MM", "yyyy"), r"\|", mark)).otherwise(F.regexp_replace(form("MM", "dd", "yyyy"), r"\|", mark))
-    return day.isNotNull() & at.between(0, _DAYS - 1), made
+    """Year first; else day before month where that is a day of the calendar, month before day where only this is one.
+
+    A date moves inside a set that has all its combinations: dates of its form, widths of day and month, and
+    reading; of days that all months, only some or only leap years have; and of years from 1600 to 2399 or any others.
+    """
+    longest = F.array(*[F.lit(m) for m in _LONGEST])
+
+    def read(s: Column) -> Column:
+        n = lambda i: F.element_at(s["p"], i).cast("bigint")
+        return _struct(p=s["p"], iso=s["iso"], a=F.when(s["iso"], n(3)).otherwise(n(1)), b=n(2), y=F.when(s["iso"], n(1)).otherwise(n(3)))
+
+    def judge(s: Column) -> Column:
+        y = s["y"]
+        leap = (F.pmod(y, F.lit(4)) == 0) & ((F.pmod(y, F.lit(100)) != 0) | (F.pmod(y, F.lit(400)) == 0))
+        fine = lambda m, d: (y >= 1) & m.between(1, 12) & (d >= 1) & (d <= F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31))
+        return _struct(p=s["p"], iso=s["iso"], a=s["a"], b=s["b"], y=y, first=fine(s["b"], s["a"]), late=~s["iso"] & fine(s["a"], s["b"]))
+
+    def arrange(s: Column) -> Column:
+        late = s["late"] & ~s["first"]  # month before day: the day is 13 at least
+        at = F.when(s["iso"], 3).when(late, 2).otherwise(1)
+        return _struct(
+            valid=s["first"] | s["late"], iso=s["iso"], late=late, y=s["y"], usual=s["y"].between(1600, 2399),
+            day=F.when(late, s["b"]).otherwise(s["a"]), month=F.when(late, s["a"]).otherwise(s["b"]),
+            wd=F.length(F.element_at(s["p"], at)), wm=F.length(F.element_at(s["p"], F.when(late, 1).otherwise(2))),
+        )
+
+    def classify(s: Column) -> Column:
+        kind = F.when((s["day"] == 29) & (s["month"] == 2), 29).when(s["day"] > 30, 31).when(s["day"] > 28, 30).otherwise(28)
+        return _struct(**{c: s[c] for c in ("valid", "iso", "late", "y", "usual", "day", "month", "wd", "wm")}, kind=kind)
+
+    def count(s: Column) -> Column:
+        """The set as years x months x days, and the date's place in each."""
+        kind, y, month = s["kind"], s["y"], s["month"]
+        rank = _leaps(y)
+        of_leap = F.when(s["usual"], rank - _BEFORE - 1).otherwise(rank - 1 - F.when(y > 2399, _INSIDE).otherwise(0))
+        lowest = F.when(kind == 28, F.when(s["late"], 13).otherwise(1)).when(kind == 31, 31).otherwise(29)
+        return _struct(
+            **{c: s[c] for c in ("valid", "iso", "late", "usual", "wd", "wm", "kind")}, lowest=lowest, of_day=s["day"] - lowest,
+            days=F.when(kind == 28, F.when(s["late"], 16).when(s["wd"] == 1, 9).otherwise(28)).when(kind == 30, 2).otherwise(1),
+            of_month=F.when(kind == 28, month - 1).when(kind == 30, month - 1 - (month > 2).cast("int")).when(kind == 31, F.array_position(longest, month.cast("int")) - 1).otherwise(0),
+            months=F.when(kind == 28, F.when(s["wm"] == 1, 9).otherwise(12)).when(kind == 30, F.when(s["wm"] == 1, 8).otherwise(11)).when(kind == 31, F.when(s["wm"] == 1, 5).otherwise(7)).otherwise(1),
+            of_year=F.when(kind == 29, of_leap).when(s["usual"], y - 1600).otherwise(y - 1 - F.when(y > 2399, 800).otherwise(0)),
+            years=F.when(kind == 29, F.when(s["usual"], _INSIDE).otherwise(_EVERY - _INSIDE)).otherwise(F.when(s["usual"], 800).otherwise(9199)),
+        )
+
+    def permute(s: Column) -> Column:
+        form = F.concat_ws("/", F.lit(key), F.lit("date"), *[s[c].cast("string") for c in ("iso", "late", "wd", "wm", "kind", "usual")])
+        inner = s["months"] * s["days"]
+        new = feistel((s["of_year"] * s["months"] + s["of_month"]) * s["days"] + s["of_day"], s["years"], inner, form)
+        return _struct(**{c: s[c] for c in ("valid", "iso", "late", "usual", "wd", "wm", "kind", "lowest", "days", "months")}, new=F.when(s["valid"], new).otherwise(0))
+
+    def write(s: Column) -> Column:
+        kind, new = s["kind"], s["new"]
+        at, y = F.pmod(F.floor(new / s["days"]), s["months"]), F.floor(new / (s["days"] * s["months"]))
+        month = F.when(kind == 28, at + 1).when(kind == 30, at + 1 + (at > 0).cast("int")).when(kind == 31, F.element_at(longest, (at + 1).cast("int"))).otherwise(2)
+        leap = _leap_year(F.when(s["usual"], y + _BEFORE + 1).otherwise(y + 1 + F.when(y >= _BEFORE, _INSIDE).otherwise(0)))
+        year = F.when(kind == 29, leap).when(s["usual"], y + 1600).otherwise(y + 1 + F.when(y >= 1599, 800).otherwise(0))
+        digits = lambda x, w: F.lpad(x.cast("bigint").cast("string"), w, "0")
+        d, m, yy = digits(F.pmod(new, s["days"]) + s["lowest"], s["wd"]), digits(month, s["wm"]), digits(year, 4)
+        mark = F.regexp_extract(v, r"[-/.]", 0)
+        text = F.when(s["iso"], F.concat_ws("-", yy, m, d)).when(s["late"], F.concat(m, mark, d, mark, yy)).otherwise(F.concat(d, mark, m, mark, yy))
+        return F.when(s["valid"], text)
+
+    made = _struct(p=F.split(v, r"[-/.]"), iso=v.rlike("^[0-9]{4}-"))
+    for stage in (read, judge, arrange, classify, count, permute, write):
+        made = _let(made, stage)
+    return made.isNotNull(), made
 
 
 def _ssn(v: Column, key: str) -> tuple[Column, Column]:
@@ -176,7 +254,7 @@ def _card(v: Column, key: str) -> tuple[Column, Column]:
 def replacement(v: Column, key: str) -> Column:
     """A struct of the kind (null: not valid) and the new value."""
     iban_ok, iban = _iban(v, key)
-    date_ok, date = _date(v, key)
+    _, date = _date(v, key)
     ssn_ok, ssn = _ssn(v, key)
     card_ok, card = _card(v, key)
     some = lambda kind, made: F.struct(F.lit(kind).alias("kind"), made.alias("value"))
@@ -186,7 +264,7 @@ def replacement(v: Column, key: str) -> Column:
         F.when(is_("email"), some("email", _email(v, key)))
         .when(is_("iban"), F.when(iban_ok, some("iban", iban)).otherwise(none))
         .when(is_("ip"), some("ip", _ip(v, key)))
-        .when(is_("date"), F.when(date_ok, some("date", date)).otherwise(none))
+        .when(is_("date"), _let(date, lambda made: F.when(made.isNotNull(), some("date", made)).otherwise(none)))
         .when(is_("ssn"), F.when(ssn_ok, some("ssn", ssn)).otherwise(none))
         .when(is_("phone"), some("phone", _phone(v, key)))
         .when(is_("card"), F.when(card_ok, some("card", card)).otherwise(none))

@@ -97,7 +97,7 @@ def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_column: str = "quality") -> Forest:
     """stats: from statistics(); labels: doc_id and the label (0 or 1)."""
-    known = only(labels, "doc_id", label_column).toDF("doc_id", "y").where("y IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    known = only(labels, "doc_id", label_column).toDF("doc_id", "y").where("y IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("y").alias("y"))  # of several labels the worst
     pool = stats.where("n_words >= 50").join(known, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
     # only the ranges of hashes with the smallest ones are sorted, so no partition sends a whole sample of its own
     part = F.shiftright("_h", 48)  # 65,536 ranges in the order of _h

@@ -12,8 +12,8 @@ Only rows whose crc32(doc_id) mod 5 is not 0 are learnt from; at most POSITIVE c
 UNLABELLED other texts, those of the smallest hash of the id. Every whole text is scored.
 
 Defined cases: null and empty texts get the score of a text without any of the words; without
-confirmed examples every score is the prior; repeated rows each give a row; empty tables give empty
-results; extra columns are ignored.
+confirmed examples every score is the prior; repeated rows each give a row, and an id is learnt from
+once, by its smallest text and its largest label; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,16 +99,21 @@ def fold(column: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled: int = UNLABELLED) -> Model:
-    known = only(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold("doc_id") != 0).dropDuplicates(["doc_id"])
-    shares = known.agg(F.count("*").alias("n"), F.sum(F.col("toxic").cast("int")).alias("k")).first()
+    known = only(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold("doc_id") != 0)
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))  # marked once is toxic
+    shares = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
     prior = float(np.clip((shares["k"] or 0) / max(shares["n"], 1), 1e-3, 0.5))
     confirmed = known.where("toxic = 1").select("doc_id", F.lit(1).alias("sample")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(positive)
-    others = docs.select("doc_id").where("doc_id IS NOT NULL").where(fold("doc_id") != 0).select("doc_id", F.lit(0).alias("sample")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
-    ids = confirmed.union(others).collect()  # at most positive + unlabelled rows
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").where(fold("doc_id") != 0)
+    share = min(1.0, 4 * unlabelled / max(ids.count(), 1))  # of all ids only the smallest hashes are made distinct
+    least = ids.where(F.xxhash64("doc_id") <= min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1)).distinct()
+    others = least.select("doc_id", F.lit(0).alias("sample")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
+    ids = confirmed.union(others).collect()  # at most positive + unlabelled rows, each id once in both samples
     if not any(r["sample"] for r in ids):
         return Model({}, np.zeros(0), float(np.log(prior / (1 - prior))))
     chosen = docs.sparkSession.createDataFrame(ids, f"doc_id {dict(docs.dtypes)['doc_id']}, sample int")
-    texts = written(only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("sample", "text"), "toxicity")
+    texts = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = written(texts.groupBy("doc_id", "sample").agg(F.min("text").alias("text")).select("sample", "text"), "toxicity")  # of texts of one id the smallest
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
         count: dict[int, Counter] = {0: Counter(), 1: Counter()}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from deltaloop.llm.common import table
 from deltaloop.llm import decontamination, jaccard, pages, pseudonyms, quality, secrets, suffixes, toxicity
+from deltaloop.llm.oracles import ORACLE
 from deltaloop.llm.packing import pack
 from deltaloop.llm.token_count import token_counts
 
@@ -63,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE

@@ -85,6 +85,12 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+def map_same(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """map_batches for a function that keeps the columns; it finds them by position, as their names may hold anything."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return map_batches(plain, function, plain.schema).toDF(*df.columns)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df lacks."""
     name, k = base, 0
@@ -98,4 +104,4 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-__all__ = ["drop_written", "fresh", "map_batches", "only", "release", "ship", "small", "table", "utf8", "written"]
+__all__ = ["drop_written", "fresh", "map_batches", "map_same", "only", "release", "ship", "small", "table", "utf8", "written"]

@@ -23,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from deltaloop.llm.common import map_batches, only, utf8
+from deltaloop.llm.common import map_batches, map_same, only, utf8
 
 #: Edits allowed for each character of an item, and characters of items in one pass.
 RATE, BLOCK = 0.07, 4_000_000
@@ -173,6 +173,6 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BL
                 made.append(Matcher(group, rate))
             return batch.filter(pa.array([not made[0].find(t) for t in utf8(batch.column(at))], pa.bool_()))
 
-        return map_batches(rows, keep, docs.schema)
+        return map_same(rows, keep)
 
     return reduce(without, _blocks(items, block), docs)

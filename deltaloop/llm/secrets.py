@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloop.llm.common import map_batches, only, utf8, written
+from deltaloop.llm.common import map_batches, map_same, only, utf8, written
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -268,4 +268,4 @@ def redacted(docs: DataFrame, level: float = 0.05) -> DataFrame:
             columns[size] = pa.array(sizes, batch.schema.field(size).type)
         return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return map_batches(docs, replace, docs.schema)
+    return map_same(docs, replace)

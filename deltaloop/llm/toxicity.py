@@ -12,7 +12,7 @@ Only rows whose crc32(doc_id) mod 5 is not 0 are learnt from; at most POSITIVE c
 UNLABELLED other texts, those of the smallest hash of the id. Every whole text is scored.
 
 Defined cases: null and empty texts get the score of a text without any of the words; without
-confirmed examples every score is the prior; repeated rows each give a row, and an id is learnt from
+confirmed examples every score is the prior (0.45 at most, so nothing is rejected); repeated rows each give a row, and an id is learnt from
 once, by its smallest text and its largest label; empty tables give empty results; extra columns are ignored.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaloop.llm.common import map_batches, only, utf8, written
+from deltaloop.llm.common import map_batches, map_same, only, utf8, written
 
 #: Bounds of the sample that is learnt from, and of the vocabulary.
 POSITIVE, UNLABELLED, WORDS = 3_000, 6_000, 256
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled
     known = only(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold("doc_id") != 0)
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))  # marked once is toxic
     shares = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
-    prior = float(np.clip((shares["k"] or 0) / max(shares["n"], 1), 1e-3, 0.5))
+    prior = float(np.clip((shares["k"] or 0) / max(shares["n"], 1), 1e-3, 0.45))
     confirmed = known.where("toxic = 1").select("doc_id", F.lit(1).alias("sample")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(positive)
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").where(fold("doc_id") != 0)
     share = min(1.0, 4 * unlabelled / max(ids.count(), 1))  # of all ids only the smallest hashes are made distinct
@@ -140,7 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled
     x = np.zeros((len(rows), len(best)))
     for k, r in enumerate(rows):
         x[k, list(r["at"])] = list(r["value"])
-    is_positive = np.array([r["sample"] == 1 for r in rows])
+    is_positive = np.array([r["sample"] == 1 for r in rows], bool)
+    if not is_positive.any():  # no text of a confirmed example is there
+        return Model({}, np.zeros(0), float(np.log(prior / (1 - prior))))
     model.weights, model.bias = nn_pu(x[is_positive], x[~is_positive] if (~is_positive).any() else x, prior)
     return model
 
@@ -153,7 +155,7 @@ def without_toxic(docs: DataFrame, corpus: DataFrame, labels: DataFrame) -> Data
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(model.score(utf8(batch.column(at))) < 0.5))
 
-    return map_batches(docs, keep, docs.schema)
+    return map_same(docs, keep)
 
 
 def rate(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled: int = UNLABELLED) -> DataFrame:

@@ -20,7 +20,7 @@ from deltaloop.functions.session import drop as drop_written
 from deltaloop.functions.session import stored as written
 
 #: Bytes of rows that go to a Python worker at once, where the session leaves Spark's own setting.
-BATCH = 4 << 20
+BATCH = 2 << 20
 _BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()
 

@@ -38,7 +38,7 @@ from deltaloop.llm.shingling import powers
 
 LENGTH, GRAM = 400, 128
 #: First compared bytes and step of the refinement; different segments that one task takes of a bucket; bytes that a task refines at a time; bytes that are hashed at a time.
-Q, WIDE, CHUNK, HASHED = 100, 20_000, 4_000_000, 1 << 18
+Q, WIDE, CHUNK, HASHED = 100, 20_000, 1_000_000, 1 << 17
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _PLACE = np.uint64((1 << 24) - 1)
 

@@ -9,7 +9,7 @@ significantly more often than unlabelled texts (at most WORDS), each by one plus
 its count.
 
 Only rows whose crc32(doc_id) mod 5 is not 0 are learnt from; at most POSITIVE confirmed and
-UNLABELLED other texts, those of the smallest hash of the id. Every whole text is scored.
+UNLABELLED other texts, those of the smallest hash of the id, and of near copies of a confirmed text one. Every whole text is scored.
 
 Defined cases: null and empty texts get the score of a text without any of the words; without
 confirmed examples every score is the prior (0.45 at most, so nothing is rejected); repeated rows each give a row, and an id is learnt from
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaloop.llm.common import map_batches, map_same, only, utf8, written
+from deltaloop.llm.shingling import shingle_sets
 
 #: Bounds of the sample that is learnt from, and of the vocabulary.
 POSITIVE, UNLABELLED, WORDS = 3_000, 6_000, 256
@@ -69,25 +70,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 3000, rate: float = 0.05, decay: float = 0.03, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the corrected risk under the logistic loss, by Adam on batches. The decay is shared by the positives."""
-    r = np.random.default_rng(seed)
+def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1200, rate: float = 0.05, decay: float = 0.3) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the corrected risk under the logistic loss, by Adam on the whole sample. The decay is shared by the positives."""
     m = positive.shape[1]
     theta = np.zeros(m + 1)
     theta[m] = np.log(prior / (1 - prior))
     first, second = np.zeros(m + 1), np.zeros(m + 1)
-    add = lambda x: np.hstack([x, np.ones((len(x), 1))])
-    p_all, u_all = add(positive), add(unlabelled)
+    p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (positive, unlabelled))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for k in range(1, steps + 1):
-        p = p_all[r.integers(0, len(p_all), min(512, len(p_all)))]
-        u = u_all[r.integers(0, len(u_all), min(1024, len(u_all)))]
         zp, zu = p @ theta, u @ theta
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         toward = -prior * p.T @ sigmoid(-zp) / len(p)
         against = u.T @ sigmoid(zu) / len(u) - prior * p.T @ sigmoid(zp) / len(p)
         g = toward + against if negative >= 0 else -against
-        g[:m] += decay / len(p_all) * theta[:m]
+        g[:m] += decay / len(p) * theta[:m]
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
         theta -= rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
@@ -113,7 +110,16 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled
         return Model({}, np.zeros(0), float(np.log(prior / (1 - prior))))
     chosen = docs.sparkSession.createDataFrame(ids, f"doc_id {dict(docs.dtypes)['doc_id']}, sample int")
     texts = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    texts = written(texts.groupBy("doc_id", "sample").agg(F.min("text").alias("text")).select("sample", "text"), "toxicity")  # of texts of one id the smallest
+    texts = texts.groupBy("doc_id", "sample").agg(F.min("text").alias("text")).select("sample", "text")  # of texts of one id the smallest
+
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        least = [int(x[0]) >> 1 if len(x) else 0 for x in shingle_sets(batch.column(1).to_pylist(), 5)]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["sample", "text", "least"])
+
+    made = written(map_batches(texts, sketch, "sample int, text string, least bigint"), "sampled")
+    # near copies of a confirmed text say no more than one of them: of equal least shingle hashes one text stays
+    once = made.where("sample = 1").groupBy("sample", "least").agg(F.min("text").alias("text")).select("sample", "text")
+    texts = written(once.unionAll(made.where("sample = 0").select("sample", "text")), "toxicity")
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
         count: dict[int, Counter] = {0: Counter(), 1: Counter()}

@@ -287,7 +287,7 @@ def _size_range(n: Column, percent: int) -> Column:
 
 def _cross(shared: DataFrame, shapes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket, of different components, that pass the filters."""
-    rows = shared.select("token", "place", "sig").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.xxhash64(F.coalesce("label", "sig")))
+    rows = shared.select("token", "place", "sig").join(small(labels.select(F.col("node").alias("sig"), "label")), "sig", "left").withColumn("label", F.xxhash64(F.coalesce("label", "sig")))
     mixed = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     n = F.col("place").bitwiseAND(0xFFFFFFFF)
     rows = rows.join(mixed, "token", "left_semi").join(shapes, "sig")
@@ -348,8 +348,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     """
     size = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     members = pairs.join(size, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "a")
-    members = members.join(texts.select(F.col("sig").alias("a"), "s"), "a").select("b", "salt", "a", "s")
-    centres = size.join(texts.select(F.col("sig").alias("b"), "s"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("a"), "s")
+    members = texts.select(F.col("sig").alias("a"), "s").join(small(members), "a").select("b", "salt", "a", "s")  # texts move once, to their centre
+    centres = small(size).join(texts.select(F.col("sig").alias("b"), "s"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("a"), "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = np.zeros(0, np.uint64)

@@ -8,6 +8,10 @@ relation whose dependent columns improve is a list of improvements, resolved whe
 
 Where few rows were made and the full relation is large, the few are broadcast and the full relation
 is only scanned, so late rounds do not shuffle it.
+
+A relation whose only recursion composes it with itself is squared instead: pairs exactly 2^k apart are
+joined with all pairs, so a pair is derived once per shortest path's vertex at that distance, not once
+per vertex between. The rounds find the same rows as the variants would.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from deltaloop.functions.columns import col, row_struct
 from deltaloop.functions.session import drop, is_stored, shuffle_partitions, stored
 from deltaloop.operators.choice import best_per_key, choose
 from deltaloop.plans.compile import compile_rule, head_frame
-from deltaloop.plans.model import Atom, Decl, Program, Rule
+from deltaloop.plans.model import Atom, Decl, Program, Rule, Var
 from deltaloop.plans.stratify import strata
 
 T = TypeVar("T")
@@ -80,11 +84,7 @@ class _Relation:
         """The rows of made that the relation lacks, as its dependencies see it."""
         decl, full = self.decl, self.full
         if not decl.keys:
-            if self.rows > LARGE and self.new <= FEW:
-                made = stored(made.distinct())
-                if made.count() <= FEW:
-                    return made.join(F.broadcast(full.join(F.broadcast(made), decl.names, "left_semi")), decl.names, "left_anti")
-            return made.distinct().join(full, decl.names, "left_anti")
+            return _lacking(made.distinct(), full, decl.names, self.rows > LARGE and self.new <= FEW)
         if decl.merge == "first":
             for key in decl.keys:
                 made = made.join(full.select(*[col(k) for k in key]), list(key), "left_anti")
@@ -113,6 +113,15 @@ class _Relation:
             drop(*[t for t in old if t is not found])  # the last delta is still read by the next round
 
 
+def _lacking(made: DataFrame, full: DataFrame, names: list[str], few: bool) -> DataFrame:
+    """The rows of made that full lacks. few: made may be small enough to be broadcast; that is tried."""
+    if few:
+        made = stored(made)
+        if made.count() <= FEW:
+            return made.join(F.broadcast(full.join(F.broadcast(made), names, "left_semi")), names, "left_anti")
+    return made.join(full, names, "left_anti")
+
+
 def _empty(spark: SparkSession, decl: Decl) -> DataFrame:
     return spark.createDataFrame([], ", ".join(f"`{n}` {t}" for n, t in zip(decl.names, decl.types)))
 
@@ -169,6 +178,8 @@ def _stratum(spark: SparkSession, program: Program, number: int, names: list[str
         return base
     outside = {a.relation for rs in recursive.values() for r in rs for a in [*r.positive, *r.negative]} - inside
     known = known | {n: _once(known[n]) for n in outside}
+    if len(names) == 1 and _composes_itself(program.decls[names[0]], recursive[names[0]]):
+        return {names[0]: _squared(number, program.decls[names[0]], base[names[0]], stats, most)}
     began = time.time()
     state = {n: _Relation(program.decls[n], base[n]) for n in names}
     stats += [IterationStats(number, 0, n, s.new, s.rows, time.time() - began) for n, s in state.items()]
@@ -189,6 +200,57 @@ def _stratum(spark: SparkSession, program: Program, number: int, names: list[str
     return {n: s.full for n, s in state.items()}
 
 
+def _composes_itself(decl: Decl, recursive: list[Rule]) -> bool:
+    """Whether r(x, z) :- r(x, y), r(y, z) is all the recursion of a relation r without dependencies."""
+    if decl.keys or len(recursive) != 1 or len(decl.columns) != 2 or len(set(decl.types)) != 1:
+        return False
+    rule = recursive[0]
+    if len(rule.body) != 2 or [a.relation for a in rule.positive] != [decl.name] * 2 or not all(isinstance(t, Var) for a in (rule.head, *rule.positive) for t in a.terms):
+        return False
+    x, z = rule.head.terms
+    return any(a.terms[0] == x and b.terms[1] == z and a.terms[1] == b.terms[0] and len({x, a.terms[1], z}) == 3 for a, b in (rule.positive, rule.positive[::-1]))
+
+
+def _squared(number: int, decl: Decl, base: DataFrame, stats: list[IterationStats], most: int | None) -> DataFrame:
+    """Closure of base under composition; round k finds the pairs of shortest distance over 2^(k-1), up to 2^k.
+
+    A shortest path of such a length has a vertex 2^(k-1) from its start, so only pairs exactly that far
+    apart (the last delta's, by their mark) are joined with all. Where no vertex has two successors, or none
+    has two predecessors, a second walk between two vertices takes a cycle, and that shows as a pair
+    (x, x) of the same or an earlier round: until one is seen, nothing is made twice.
+    """
+    pair = ["s", "d"]
+    began = time.time()
+    loops = F.count_if(F.col("s") == F.col("d"))
+    far = edge = stored(base.toDF(*pair))
+    new, looped = edge.agg(F.count("*"), loops).first()
+    once = not looped and any(not edge.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").head(1) for c in pair)
+    parts, last, rows, iteration = [edge], edge.withColumn("far", F.lit(True)), new, 0
+    stats.append(IterationStats(number, 0, decl.name, new, rows, time.time() - began))
+    while new and (most is None or iteration < most):
+        iteration += 1
+        began = time.time()
+        every = reduce(DataFrame.union, [*[p.withColumn("far", F.lit(False)) for p in parts[:-1]], last])
+        made = far.toDF("s", "by").join(every.toDF("by", "d", "far"), "by").select("s", "d", "far")
+        if once:
+            last = stored(made)
+            new, looped = last.agg(F.count("*"), loops).first()
+            if looped:
+                once = False
+                drop(last)
+        if not once:
+            made = made.groupBy("s", "d").agg(F.bool_and("far").alias("far"))
+            last = stored(_lacking(made, reduce(DataFrame.union, parts), pair, rows > LARGE and new <= FEW).select("s", "d", "far"))
+            new = last.count()
+        rows += new
+        parts.append(last.select(*pair))
+        stats.append(IterationStats(number, iteration, decl.name, new, rows, time.time() - began))
+        old, far = far, stored(last.where("far").select(*pair))
+        if old is not edge:
+            drop(old)
+    return reduce(DataFrame.union, parts).toDF(*decl.names)
+
+
 def _together(function: Callable[[str], T], names: list[str]) -> list[T]:
     """Jobs of one round that don't read each other's results run side by side."""
     if len(names) < 2:

@@ -51,13 +51,20 @@ def alias_analysis(assign: DataFrame, dereference: DataFrame) -> Result:
     two expressions share; two expressions have one value if it flows to both of them from the same place or
     from places that share memory; two dereferences share memory if their pointers have one value.
     Every assigned or assigning variable has its own value and memory.
+
+    Values are not part of the recursion, which needs them only where they are dereferenced: a target is what
+    a vertex's value is dereferenced to, and targets of one vertex, or of two that share memory, do. A vertex
+    with itself is left out of the recursion too, as it would make every row again.
     """
     grammar = """
-    value_flow = assign | value_flow value_flow | assign memory_alias
-    value_alias = ~value_flow value_flow | ~value_flow memory_alias value_flow
-    memory_alias = ~dereference value_alias dereference
+    flow = assign | flow flow | assign alias
+    target = self dereference | flow dereference
+    alias = ~target target | ~target alias target
+    value_flow = self | flow
+    memory_alias = self | alias
+    value_alias = ~value_flow value_flow | ~value_flow alias value_flow
     """
-    program = path_program(["assign", "dereference"], grammar, reflexive={"value_flow": "assign", "memory_alias": "assign"})
+    program = path_program(["assign", "dereference"], grammar, reflexive={"self": "assign"})
     return program.facts("assign", assign).facts("dereference", dereference).run(assign.sparkSession)
 
 
